@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.runtime import cut
+
 #: Most 64-bit words of a filter (8 MB); above the keys this serves well, it passes more references on and stays right.
 MAX_WORDS = 1 << 20
 
@@ -31,9 +33,10 @@ def bloom_filter(keys: DataFrame, column: str, words: int, probes: int = 4) -> D
     """
     both = F.explode(F.array(*(F.struct(w.alias("w"), m.alias("m")) for w, m in (_bit(F.col(column), k, words) for k in range(probes)))))
     set_words = keys.where(F.col(column).isNotNull()).select(both.alias("b")).groupBy("b.w").agg(F.bit_or("b.m").alias("m"))
-    by_word = F.map_from_entries(F.collect_list(F.struct("w", "m")))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at(F.col("by"), i.cast("bigint")), F.lit(0).cast("bigint")))
-    return set_words.agg(by_word.alias("by")).select(packed.alias("bits"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("m"))
+    filled = set_words.unionByName(every).groupBy("w").agg(F.bit_or("m").alias("m"))
+    in_order = F.array_sort(F.collect_list(F.struct("w", "m")))
+    return filled.agg(F.transform(in_order, lambda x: x["m"]).alias("bits"))
 
 
 def might_contain(bits: Column, key: Column, words: int, probes: int = 4) -> Column:
@@ -84,7 +87,7 @@ def orphan_references(refs: DataFrame, current: DataFrame, former: DataFrame, ro
         .withColumn("key", ref_key(F.col("ref"), root))
     )
     known = current.select(F.explode(F.array("id", "path")).alias("key")).unionByName(former.select(F.explode(F.array("id", "path")).alias("key")))
-    bits = bloom_filter(known, "key", words)
+    bits = cut(bloom_filter(known, "key", words))
     probed = entries.withColumn("maybe", F.coalesce(might_contain(bits.scalar(), F.col("key"), words), F.lit(False)))
     period = F.date_format("labeled_at", "yyyy-MM")
     sure = probed.where(~F.col("maybe")).select("eval_id", "ref", F.lit("missing").alias("kind"), period.alias("period"))
