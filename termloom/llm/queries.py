@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bpe import token_ids
+from termloom.llm.markup import clean_markup
+from termloom.llm.mixing import mix
 from termloom.llm.neardup import near_duplicate_links, near_duplicate_pairs
 from termloom.llm.terms import distinctive_terms, marked_frequencies, term_weights
 from termloom.llm.topn import top_n
 from termloom.llm.sql import SQL  # noqa: F401
+from termloom.llm.truncation import truncation, truncation_rates
 from termloom.runtime import table
 
 
@@ -31,6 +34,14 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_links(table(spark, d, "documents"), "doc_id", "text", words=5, threshold=0.8)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(table(spark, d, "corpus_docs"), "id", ["content", "title"]).where(F.col("tags") > 0).select("id", "field")
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(table(spark, d, "corpus_docs"), "id", ["content", "title"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     m = marked_frequencies(table(spark, d, "postings"), table(spark, d, "collection_stats"))
     return m.where(F.col("mark").isNotNull()).select("term", "mark")
@@ -49,4 +60,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_links, p5_found, p5_frequencies, p6_found, p8_ids)}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation(table(spark, d, "documents")).where("is_cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(truncation(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_weights, p3_found, p3_links, p4_found, p4_clean, p5_found, p5_frequencies, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_rates)}
