@@ -62,12 +62,19 @@ def signatures(elements: np.ndarray, record: np.ndarray, n_records: int, m: int,
     return owner.reshape(n_records, m)
 
 
-def word_shingles(text: Column, words: int) -> Column:
-    """Distinct hashes of all runs of `words` consecutive tokens in ASCII lower case; empty where there are fewer tokens."""
-    t = tokens(F.translate(text, UPPER, LOWER))
-    n = F.size(t) - F.lit(words - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(t, i, words))))
-    return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def folded_tokens(text: Column) -> Column:
+    """The tokens of a text in ASCII lower case."""
+    return tokens(F.translate(text, UPPER, LOWER))
+
+
+def word_shingles(words_col: str, words: int) -> Column:
+    """Distinct hashes of all runs of `words` consecutive entries of an array column; empty where there are fewer.
+
+    Takes a column, not an expression: inside the lambda an expression would be worked out again for every run.
+    """
+    t = F.col(words_col)
+    runs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(words - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(t, i + F.lit(k)) for k in range(1, words))))
+    return F.array_distinct(runs)
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -95,8 +102,10 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, words: int) ->
 
     class_id is a 64-bit hash of the set's sorted elements and its size. Records without shingles or without an id are left out.
     """
-    sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(word_shingles(F.col(text_col), words)).alias("shingles"))
-    own = cut(sets.where(F.size("shingles") > 0).select(F.xxhash64("shingles", F.size("shingles")).alias("class_id"), "id", "shingles"))
+    split = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("_words"))
+    # The filter is on the tokens: one on the shingles would be pushed below them and take the tokenizer into the lambda.
+    sets = split.where(F.size("_words") >= words).select("id", F.sort_array(word_shingles("_words", words)).alias("shingles"))
+    own = cut(sets.select(F.xxhash64("shingles", F.size("shingles")).alias("class_id"), "id", "shingles"))
     classes = own.groupBy("class_id").agg(F.first("shingles").alias("shingles")).select("class_id", F.size("shingles").alias("n"), "shingles")
     return own.select("class_id", "id"), cut(classes)
 
