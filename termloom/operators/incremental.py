@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.runtime import cut
+
 
 def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """One row per key, the one with the greatest `order`; ties go to the greatest values, null order is least.
@@ -44,10 +46,11 @@ def _ledger(listed: DataFrame) -> DataFrame:
 
 def listings_by_turn(listings: DataFrame, runs: DataFrame, initial: DataFrame) -> DataFrame:
     """(path, turn, run_no, modified_time), one row per path and successful run; turn 0 is the first state."""
-    listed = listings.where(F.col("path").isNotNull()).join(ok_runs(runs), "run_no")
-    own = latest(listed, ["path", "turn", "run_no"], "listed_at", ["modified_time"])
+    own = listings.where(F.col("path").isNotNull()).select("run_no", "path", "modified_time", "listed_at")
+    listed = own.join(ok_runs(runs), "run_no")
+    last = latest(listed, ["path", "turn", "run_no"], "listed_at", ["modified_time"])
     first = initial.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("modified_time").alias("modified_time"))
-    return own.unionByName(first.select("path", F.lit(0).alias("turn"), F.lit(None).cast("int").alias("run_no"), "modified_time"))
+    return last.unionByName(first.select("path", F.lit(0).alias("turn"), F.lit(None).cast("int").alias("run_no"), "modified_time"))
 
 
 def replay_changes(listings: DataFrame, runs: DataFrame, initial: DataFrame) -> DataFrame:
@@ -58,10 +61,10 @@ def replay_changes(listings: DataFrame, runs: DataFrame, initial: DataFrame) ->
     modified_time); rows without path or run_no, and rows of runs that aren't ok, change nothing; a null
     modified_time keeps the former state; empty tables give no rows.
 
-    Candidates and ledger share one shuffle by path: the anti-join's other conditions are written as differences,
-    which leaves path as its only hash key, and both sides reuse the window's exchange.
+    The listings are read and reduced once; what remains, a row per path and successful run, is cut from its lineage and serves as candidates and as ledger. The anti-join's other conditions are written as
+    differences, which leaves path as its only hash key; a path has a row per run at most.
     """
-    state = _ledger(listings_by_turn(listings, runs, initial))
+    state = cut(_ledger(listings_by_turn(listings, runs, initial)))
     seen = state.where(F.col("version").isNotNull()).select("path", F.col("turn").alias("l_turn"), "version").alias("l")
     new = state.where((F.col("turn") > 0) & F.col("modified_time").isNotNull()).select("run_no", "path", "turn", "modified_time").alias("c")
     same = (
