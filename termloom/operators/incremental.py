@@ -78,6 +78,8 @@ def replay_changes(listings: DataFrame, runs: DataFrame, initial: DataFrame) ->
 def state_after(listings: DataFrame, runs: DataFrame, initial: DataFrame) -> DataFrame:
     """(path, modified_time): the state once the last successful run of the log has been applied."""
     state = _ledger(listings_by_turn(listings, runs, initial))
+    # Island -1 begins with the first state; a path outside it whose listings had no time never came in.
+    state = state.where(F.col("version").isNotNull() | (F.col("_island") == -1))
     last = ok_runs(runs).agg(F.coalesce(F.max("turn"), F.lit(0)).alias("turn"))
     return state.join(F.broadcast(last), "turn").select("path", F.col("version").alias("modified_time"))
 
