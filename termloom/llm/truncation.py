@@ -194,56 +194,47 @@ def fit_censored(x: np.ndarray, n: np.ndarray, limits: np.ndarray, censored: np.
     return mean, dev
 
 
-#: Bins per power of two of length; what makes a length a candidate limit: so many values, so many times its neighbours.
+#: Bins per power of two of length; what makes a length a candidate limit: so many values, so many times what is usual in its bin.
 PER_OCTAVE, LEAST, TIMES = 8, 5, 4.0
 
 
 def limit_posteriors(measured: DataFrame) -> DataFrame:
     """(source, unit, at, count, censored): candidate limits of each source, in chars or bytes, and the posterior that a value of just that length was censored.
 
-    The histogram combines in each task. Per source at most 64 * PER_OCTAVE bins a unit and the candidates come together.
+    The histogram combines in each task. What is usual in a bin is the geometric mean of its lengths' counts, which limits
+    hardly raise. To the fit of a source go its bins, at most 64 * PER_OCTAVE a unit, and per bin the candidates' sums; the posterior of each
+    candidate then follows from its source's fit by a join, so their number isn't limited.
     """
+    keys = ["source", "unit"]
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("at"))))
     by_length = measured.select("source", units.alias("u")).groupBy("source", "u.unit", "u.at").agg(F.count("*").alias("n")).where(F.col("at") > 0)
-    bin_ = F.floor(F.log2("at") * PER_OCTAVE)
-    lengths = cut(by_length.withColumn("bin", bin_))
-    bins = lengths.groupBy("source", "unit", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= LEAST, F.col("n")).otherwise(0)).alias("in_spikes"), F.sum(F.log("at") * F.col("n")).alias("logs"))
-    spikes = lengths.where(F.col("n") >= LEAST).groupBy("source", "unit", "bin").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), F.col("at").alias("at"))), asc=False).alias("all"))
-    packed = bins.join(spikes.select(*(F.col(c).alias(f"s_{c}") for c in ("source", "unit", "bin")), F.slice("all", 1, 64).alias("top")), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("unit") == F.col("s_unit")) & (F.col("bin") == F.col("s_bin")), "left")
-
-    def found_limits(at: np.ndarray, source: str | None, unit: str, count: np.ndarray, censored: np.ndarray) -> pd.DataFrame:
-        names = {"source": pd.Series([source] * len(at), dtype=object), "unit": pd.Series([unit] * len(at), dtype=object)}
-        return pd.DataFrame(names | {"at": np.asarray(at, dtype="int64"), "count": np.asarray(count, dtype="int64"), "censored": np.asarray(censored, dtype=float)})
+    lengths = cut(by_length.withColumn("bin", F.floor(F.log2("at") * PER_OCTAVE)))
+    width = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(2.0), (F.col("bin") + 1) / PER_OCTAVE)) - F.ceil(F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)) + 1)
+    # Lengths that no value has count as one half.
+    usual = F.exp((F.sum(F.log("n")) + (F.max(width) - F.count("*")) * math.log(0.5)) / F.max(width))
+    bins = lengths.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.log("at") * F.col("n")).alias("logs"), usual.alias("usual"))
+    same = F.col("l.source").eqNullSafe(F.col("b.source")) & (F.col("l.unit") == F.col("b.unit")) & (F.col("l.bin") == F.col("b.bin"))
+    peaks = lengths.where(F.col("n") >= LEAST).alias("l").join(bins.alias("b"), same).where(F.col("l.n") >= TIMES * (F.col("b.usual") + 1))
+    candidates = cut(peaks.select("l.source", "l.unit", "l.bin", "l.at", F.col("l.n").alias("count"), (F.col("l.n") - F.col("b.usual")).alias("excess")))
+    taken = candidates.groupBy(*keys, "bin").agg(F.sum("excess").alias("excess"), (F.sum(F.log("at") * F.col("excess")) / F.sum("excess")).alias("limit"))
+    t = F.col("t.bin") == F.col("b.bin")
+    joined = bins.alias("b").join(taken.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")) & (F.col("b.unit") == F.col("t.unit")) & t, "left")
+    to_fit = joined.select("b.source", "b.unit", "b.n", "b.logs", F.coalesce("t.excess", F.lit(0.0)).alias("excess"), F.coalesce("t.limit", F.lit(0.0)).alias("limit"))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        width = np.maximum(1.0, np.floor(2 ** ((rows["bin"] + 1) / PER_OCTAVE)) - np.ceil(2 ** (rows["bin"] / PER_OCTAVE)) + 1).to_numpy()
-        n = rows["n"].to_numpy(dtype=float)
+        n, excess = rows["n"].to_numpy(dtype=float), rows["excess"].to_numpy(dtype=float)
         x = rows["logs"].to_numpy(dtype=float) / n
-        found: list[tuple[float, float, int]] = []
-        taken = np.zeros(len(rows))
-        for k, top in enumerate(rows["top"]):
-            if top is None:
-                continue
-            rest = n[k]
-            for entry in top:
-                count, at = float(entry["n"]), int(entry["at"])
-                beside = max(rest - count, 0.0) / max(width[k] - 1, 1.0)
-                if count < LEAST or count < TIMES * (beside + 1):
-                    break
-                found.append((at, count, k))
-                taken[k] += count - beside
-                rest -= count
-        if not found:
-            return found_limits([], key[0], key[1], np.zeros(0), np.zeros(0))
-        at, count, k = (np.array(c) for c in zip(*found, strict=True))
-        k = k.astype(int)
-        own = np.array([taken[i] * (c / max(1e-9, sum(d for _, d, j in found if j == i))) for _, c, i in found])
-        mean, dev = fit_censored(x, np.maximum(n - taken, 0.0), np.log(at.astype(float)), own)
-        z = (np.log(at.astype(float)) - mean) / dev
-        expected = n.sum() * np.exp(_log_phi(z)) / (dev * at)
-        return found_limits(at, key[0], key[1], count, np.clip(1 - expected / count, 0.0, 1.0))
-
-    return packed.select("source", "unit", "bin", "n", "logs", "top").groupBy("source", "unit").applyInPandas(fit, "source string, unit string, at bigint, count bigint, censored double")
+        at_limit = excess > 0
+        mean, dev = fit_censored(x, np.maximum(n - excess, 0.0), rows["limit"].to_numpy(dtype=float)[at_limit], excess[at_limit])
+        names = {"source": pd.Series([key[0]], dtype=object), "unit": pd.Series([key[1]], dtype=object)}
+        return pd.DataFrame(names | {"mean": [mean], "dev": [dev], "total": [float(n.sum())]})
+
+    fits = to_fit.groupBy(*keys).applyInPandas(fit, "source string, unit string, mean double, dev double, total double")
+    c = candidates.alias("c").join(fits.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")) & (F.col("c.unit") == F.col("f.unit")))
+    z = (F.log("c.at") - F.col("f.mean")) / F.col("f.dev")
+    expected = F.col("f.total") * F.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * F.col("f.dev") * F.col("c.at"))
+    censored = F.greatest(F.least(1 - expected / F.col("c.count"), F.lit(1.0)), F.lit(0.0))
+    return c.select("c.source", "c.unit", "c.at", "c.count", censored.alias("censored"))
 
 
 # --- putting it together --------------------------------------------------------------------------
@@ -288,25 +279,22 @@ def truncation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     announced_odds = F.when(short, 6.0).when(kept, -3.0).otherwise(0.0)
 
     limits = limit_posteriors(measured).where(F.col("censored") > 0.5)
-    per_source = F.struct("unit", "at", "censored")
-    by_source = cut(limits.groupBy("source").agg(F.slice(F.sort_array(F.collect_list(per_source)), 1, 512).alias("limits")))
-
-    def at_limit(x: Column) -> Column:
-        over = F.when(x["unit"] == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
-        # a byte limit may fall inside a character, which then is left out or replaced
-        slack = F.when(x["unit"] == "bytes", F.lit(3)).otherwise(F.lit(0))
-        return (over <= x["at"]) & (over >= x["at"] - slack)
+    # A byte limit may fall inside a character, which then is left out.
+    reach = F.sequence(F.col("at") - F.when(F.col("unit") == "bytes", 3).otherwise(0), F.col("at"))
+    reached = cut(limits.select("source", "unit", F.explode(reach).alias("at"), "censored").groupBy("source", "unit", "at").agg(F.max("censored").alias("censored")))
 
-    hits = F.transform(F.filter("limits", at_limit), lambda x: x["censored"])
-    base = F.lit(0.08)
-    posterior = F.coalesce(F.array_max(hits), base)
+    def at_limit(unit: str) -> DataFrame:
+        return reached.where(F.col("unit") == unit).select(F.col("source").alias(f"{unit}_source"), F.col("at").alias(f"{unit}_at"), F.col("censored").alias(f"{unit}_censored"))
 
     seen = measured.where(F.col("kind").isin(*LOOKED_UP))
     # A finished sentence's last words serve as those of sentences with trailing dots.
     shapes = _beginnings(seen.where(F.col("shape") != "").groupBy("kind", "shape").agg(F.count("*").alias("n")), "shape").withColumnRenamed("odds", "shape_odds")
     words = _beginnings(seen.where(F.col("last_word") != "").groupBy("kind", "last_word").agg(F.count("*").alias("n")), "last_word").withColumnRenamed("odds", "word_odds")
     kinds = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))
-    m = measured.alias("m").join(by_source.select(F.col("source").alias("l_source"), "limits"), F.col("m.source").eqNullSafe(F.col("l_source")), "left")
+    m = measured
+    for unit, column in (("chars", "n_chars"), ("bytes", "n_bytes")):
+        m = m.join(at_limit(unit), m["source"].eqNullSafe(F.col(f"{unit}_source")) & (m[column] == F.col(f"{unit}_at")), "left")
+    posterior = F.coalesce(F.greatest("chars_censored", "bytes_censored"), F.lit(0.08))
     m = m.join(shapes, ["kind", "shape"], "left").join(words, ["kind", "last_word"], "left")
     looked = F.coalesce("shape_odds", F.lit(0.0)) + F.coalesce("word_odds", F.lit(0.0))
     ending_odds = kinds[F.col("kind")] + F.when(F.col("kind").isin(*LOOKED_UP), looked).otherwise(0.0)
