@@ -80,8 +80,10 @@ class _Reader:
         self.pieces.append(piece)
         return f"{_OPEN}{len(self.pieces) - 1}{_CLOSE}"
 
-    def sub(self, pattern: re.Pattern, f: Callable[[re.Match], str]) -> None:
-        self.text = pattern.sub(f, self.text)
+    def sub(self, need: str, pattern: re.Pattern, f: Callable[[re.Match], str]) -> None:
+        """Replaces what the pattern finds; `need` holds the signs one of which every match has, so that a text without them isn't searched."""
+        if any(c in self.text for c in need):
+            self.text = pattern.sub(f, self.text)
 
 
 def _c(pattern: str, flags: int = 0) -> re.Pattern:
@@ -89,7 +91,7 @@ def _c(pattern: str, flags: int = 0) -> re.Pattern:
 
 
 _M, _S, _I = re.MULTILINE, re.DOTALL, re.IGNORECASE
-_COMMENT = _c(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>|<!\[CDATA\[|\]\]>(?=\s|$)", _S | _I)
+_COMMENT = _c(r"<!--(?:(?!<!--).)*?-->|<!--|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>|<!\[CDATA\[|\]\]>(?=\s|$)", _S | _I)
 _HIDDEN = _c(r"<(script|style)\b[^>]*>.*?</\1\s*>", _S | _I)
 _FENCE = _c(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)\n(.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\Z)", _M | _S)
 _FENCE_LINE = _c(r"^[ \t]{0,3}(?:`{3,}|~{3,})[^\n`]*$", _M)
@@ -99,8 +101,8 @@ _VERBATIM = _c(r"\\begin\{(verbatim|lstlisting|minted)\*?\}(?:\[[^\]]*\]|\{[^}]*
 _MATH_ENV = _c(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}(.*?)\\end\{\1\2\}", _S)
 _MATH_TAG = _c(r"<math\b[^>]*>(.*?)</math\s*>", _S | _I)
 _DISPLAY = _c(r"\$\$(?!\s*\$)(.+?)\$\$", _S)
-_BRACKET = _c(r"\\\[(.+?)\\\]", _S)
-_PAREN = _c(r"\\\((.+?)\\\)", _S)
+_BRACKET = _c(r"\\\[((?:(?!\\\[).)+?)\\\]", _S)
+_PAREN = _c(r"\\\(((?:(?!\\\().)+?)\\\)", _S)
 _INLINE = _c(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,400}?)(?<=[^\s\\])\$(?![\d$])")
 _MATHY = _c(r"[\\^_{}=]|^\s*[A-Za-z]\s*$|[A-Za-z]\s*[-+*/<>]\s*\w|\w\s*[-+*/<>]\s*[A-Za-z]|^[A-Za-z]\([^)]*\)$")
 _TICKS = _c(r"(?<!`)(`{1,2})(?!`)([^\n]*?[^\n`])\1(?!`)")
@@ -122,12 +124,12 @@ _W_EXTERNAL = _c(r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+([^\]\n]*))?\](?!\()")
 _W_TEMPLATE = _c(r"\{\{([^{}]*)\}\}", _S)
 _W_PARAM = _c(r"\{\{\{[^{}]*\}\}\}")
 _W_OPEN_TEMPLATE = _c(r"\{\{[A-Za-z][^{}\n]*$|^\}\}[ \t]*$", _M)
-_W_BOLD = _c(r"'''''(?=\S)([^\n]+?)'''''|'''(?=\S)([^\n]+?)'''|(?<!')''(?=[^\s'])([^\n]*?[^\s'])''(?!')")
+_W_BOLD = _c(r"'''''(?=\S)((?:[^'\n]|'(?!'))+)'''''|'''(?=\S)((?:[^'\n]|'(?!''))+?)'''|(?<!')''(?=[^\s'])((?:[^'\n]|'(?!'))*[^\s'])''(?!')")
 _W_HEAD = _c(r"^[ \t]*(={1,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$", _M)
 _W_MAGIC = _c(r"(?<!\w)__[A-Z]{3,}__(?!\w)|~{4,5}(?!\S)")
 _ENTITY = _c(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _M_ATX = _c(r"^[ \t]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)(?:[ \t]+#+)?[ \t]*$", _M)
-_M_SETEXT = _c(r"^([ \t]*(?![-*+>|#=\s])[^\n]*\S[^\n]*)\n[ \t]{0,3}(=+|-{2,})[ \t]*$", _M)
+_M_SETEXT = _c(r"^([ \t]*[^-*+>|#=\s][^\n]*)\n[ \t]{0,3}(=+|-{2,})[ \t]*$", _M)
 _M_RULE = _c(r"^[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|={3,})$", _M)
 _M_TABLE_RULE = _c(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$", _M)
 _M_TABLE = _c(r"^[ \t]*\|(?=[^\n]*\S)([^\n]*?)\|?[ \t]*$", _M)
@@ -143,8 +145,8 @@ _M_IMAGE = _c(r"!\[([^\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])")
 _M_LINK = _c(r"(?<!!)\[([^\[\]\n]+)\]\([^()\s]*(?:[ \t]+[\"'(][^\n)]*)?\)")
 _M_REF_LINK = _c(r"(?<![!\w\])])\[([^\[\]\n]+)\]\[([^\[\]\n]*)\](?!\[)")
 _M_AUTO = _c(r"<(?:https?|ftp|mailto):[^\s<>]+>|<[\w.+-]+@[\w-]+\.[\w.]+>")
-_M_STRIKE = _c(r"~~(?=[^\s~])([^\n]*?[^\s~])~~(?!~)")
-_M_BOLD = _c(r"(?<![*\\])\*{2,3}(?=[^\s*])([^\n]*?[^\s*\\])\*{2,3}(?!\*)|(?<![\w\\])_{2,3}(?=[^\s_])([^\n]*?[^\s_\\])_{2,3}(?!\w)")
+_M_STRIKE = _c(r"~~(?=[^\s~])((?:[^~\n]|~(?!~))*?[^\s~])~~(?!~)")
+_M_BOLD = _c(r"(?<![*\\])\*{2,3}(?=[^\s*])((?:[^*\n]|\*(?!\*))*?[^\s*\\])\*{2,3}(?!\*)|(?<![\w\\])_{2,3}(?=[^\s_])((?:[^_\n]|_(?!_))*?[^\s_\\])_{2,3}(?!\w)")
 _M_EM = _c(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*\\])\*(?![\w*])|(?<![\w\\])_(?=[^\s_])([^_\n]*?[^\s_\\])_(?!\w)")
 _M_INDENT = _c(r"(?:\A|(?<=\n\n))(?:(?: {4}|\t)[ \t]*\S[^\n]*(?:\n|\Z))+")
 
@@ -163,57 +165,57 @@ def parse(text: str) -> Parsed:
     r = _Reader(text)
     tag, stash, sub = r.tag, r.stash, r.sub
 
-    sub(_COMMENT, lambda m: tag("html_comment"))
-    sub(_HIDDEN, lambda m: tag("html_tag"))
-    sub(_FENCE, lambda m: tag("md_code") + stash(f"```{m.group(2).strip()}\n{m.group(3).rstrip()}\n```") + "\n")
-    sub(_FENCE_LINE, lambda m: tag("md_code"))
-    sub(_PRE, lambda m: tag("html_tag") + stash("\n```\n" + html.unescape(re.sub(r"</?code[^>]*>", "", m.group(2), flags=re.I)).strip() + "\n```\n"))
-    sub(_CODE_TAG, lambda m: tag("html_tag") + stash(f"`{html.unescape(m.group(2))}`"))
-    sub(_VERBATIM, lambda m: tag("latex_environment") + stash(f"\n```\n{m.group(2).strip()}\n```\n"))
-    sub(_MATH_ENV, lambda m: tag("formula") + stash(f"$$ {m.group(3).strip()} $$"))
-    sub(_MATH_TAG, lambda m: tag("formula") + stash(f"${m.group(1).strip()}$"))
-    sub(_TICKS, lambda m: tag("md_code") + stash(f"`{m.group(2).strip()}`"))
-    sub(_DISPLAY, lambda m: tag("formula") + stash(f"$$ {m.group(1).strip()} $$"))
-    sub(_BRACKET, lambda m: tag("formula") + stash(f"$$ {m.group(1).strip()} $$"))
-    sub(_PAREN, lambda m: tag("formula") + stash(f"${m.group(1).strip()}$"))
-    sub(_INLINE, lambda m: tag("formula") + stash(f"${m.group(1)}$") if _MATHY.search(m.group(1)) else m.group(0))
-    sub(_DRIVE, lambda m: stash(m.group(0)))
-
-    sub(_L_HEAD, lambda m: tag("latex_command") + stash("#" * (1 + m.group(1).count("sub") + (m.group(1) == "section"))) + " " + m.group(2))
-    sub(_L_DROP, lambda m: tag("latex_command"))
-    sub(_L_NOTE, lambda m: tag("latex_command"))
+    sub("<]", _COMMENT, lambda m: tag("html_comment"))
+    sub("<", _HIDDEN, lambda m: tag("html_tag"))
+    sub("`~", _FENCE, lambda m: tag("md_code") + stash(f"```{m.group(2).strip()}\n{m.group(3).rstrip()}\n```") + "\n")
+    sub("`~", _FENCE_LINE, lambda m: tag("md_code"))
+    sub("<", _PRE, lambda m: tag("html_tag") + stash("\n```\n" + html.unescape(re.sub(r"</?code[^>]*>", "", m.group(2), flags=re.I)).strip() + "\n```\n"))
+    sub("<", _CODE_TAG, lambda m: tag("html_tag") + stash(f"`{html.unescape(m.group(2))}`"))
+    sub("\\", _VERBATIM, lambda m: tag("latex_environment") + stash(f"\n```\n{m.group(2).strip()}\n```\n"))
+    sub("\\", _MATH_ENV, lambda m: tag("formula") + stash(f"$$ {m.group(3).strip()} $$"))
+    sub("<", _MATH_TAG, lambda m: tag("formula") + stash(f"${m.group(1).strip()}$"))
+    sub("`", _TICKS, lambda m: tag("md_code") + stash(f"`{m.group(2).strip()}`"))
+    sub("$", _DISPLAY, lambda m: tag("formula") + stash(f"$$ {m.group(1).strip()} $$"))
+    sub("\\", _BRACKET, lambda m: tag("formula") + stash(f"$$ {m.group(1).strip()} $$"))
+    sub("\\", _PAREN, lambda m: tag("formula") + stash(f"${m.group(1).strip()}$"))
+    sub("$", _INLINE, lambda m: tag("formula") + stash(f"${m.group(1)}$") if _MATHY.search(m.group(1)) else m.group(0))
+    sub("\\", _DRIVE, lambda m: stash(m.group(0)))
+
+    sub("\\", _L_HEAD, lambda m: tag("latex_command") + stash("#" * (1 + m.group(1).count("sub") + (m.group(1) == "section"))) + " " + m.group(2))
+    sub("\\", _L_DROP, lambda m: tag("latex_command"))
+    sub("\\", _L_NOTE, lambda m: tag("latex_command"))
     in_table = bool(re.search(r"\\begin\{tabular", r.text))
-    sub(_L_ENV, lambda m: tag("latex_environment"))
+    sub("\\", _L_ENV, lambda m: tag("latex_environment"))
     if in_table:
-        sub(_c(r"[ \t]&[ \t]"), lambda m: " | ")
+        sub("&", _c(r"[ \t]&[ \t]"), lambda m: " | ")
     for _ in range(3):
         if "\\" not in r.text:
             break
-        sub(_L_ARG, lambda m: tag("latex_command") + m.group(2))
-    sub(_L_ITEM, lambda m: tag("latex_command") + stash("-") + " " + (m.group(1) or ""))
-    sub(_L_BARE, lambda m: tag("latex_command"))
-    sub(_c(r"(?<=\w)~(?=[A-Za-z\U000f0000-\U000fffff])"), lambda m: " ")
+        sub("\\", _L_ARG, lambda m: tag("latex_command") + m.group(2))
+    sub("\\", _L_ITEM, lambda m: tag("latex_command") + stash("-") + " " + (m.group(1) or ""))
+    sub("\\", _L_BARE, lambda m: tag("latex_command"))
+    sub("~", _c(r"(?<=\w)~(?=[A-Za-z\U000f0000-\U000fffff])"), lambda m: " ")
 
-    sub(_W_REDIRECT, lambda m: tag("wiki_magic"))
-    sub(_W_PARAM, lambda m: tag("wiki_template"))
+    sub("#", _W_REDIRECT, lambda m: tag("wiki_magic"))
+    sub("{", _W_PARAM, lambda m: tag("wiki_template"))
     for _ in range(4):
         if "{{" not in r.text:
             break
-        sub(_W_TEMPLATE, lambda m: tag("wiki_template") + _template(m.group(1)))
-    sub(_W_OPEN_TEMPLATE, lambda m: tag("wiki_template"))
-    sub(_W_FILE, lambda m: tag("wiki_link") + ((m.group(1) or "").split("|")[-1]))
-    sub(_W_CATEGORY, lambda m: tag("wiki_link"))
-    sub(_W_LINK, lambda m: tag("wiki_link") + (m.group(2) or m.group(1)))
-    sub(_W_EXTERNAL, lambda m: tag("wiki_link") + (m.group(1) or ""))
+        sub("{", _W_TEMPLATE, lambda m: tag("wiki_template") + _template(m.group(1)))
+    sub("{}", _W_OPEN_TEMPLATE, lambda m: tag("wiki_template"))
+    sub("[", _W_FILE, lambda m: tag("wiki_link") + ((m.group(1) or "").split("|")[-1]))
+    sub("[", _W_CATEGORY, lambda m: tag("wiki_link"))
+    sub("[", _W_LINK, lambda m: tag("wiki_link") + (m.group(2) or m.group(1)))
+    sub("[", _W_EXTERNAL, lambda m: tag("wiki_link") + (m.group(1) or ""))
     wiki_table = "{|" in r.text
-    sub(_W_TABLE, lambda m: tag("wiki_table"))
+    sub("|", _W_TABLE, lambda m: tag("wiki_table"))
     if wiki_table or "||" in r.text:
-        sub(_W_CELLS, lambda m: tag("wiki_table") + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m.group(1)))
-    sub(_W_BOLD, lambda m: tag("wiki_emphasis") + next(g for g in m.groups() if g is not None))
-    sub(_W_HEAD, lambda m: tag("wiki_heading") + stash("#" * len(m.group(1))) + " " + m.group(2))
-    sub(_W_MAGIC, lambda m: tag("wiki_magic"))
+        sub("|!", _W_CELLS, lambda m: tag("wiki_table") + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m.group(1)))
+    sub("'", _W_BOLD, lambda m: tag("wiki_emphasis") + next(g for g in m.groups() if g is not None))
+    sub("=", _W_HEAD, lambda m: tag("wiki_heading") + stash("#" * len(m.group(1))) + " " + m.group(2))
+    sub("_~", _W_MAGIC, lambda m: tag("wiki_magic"))
 
-    sub(_M_AUTO, lambda m: tag("md_link") + m.group(0)[1:-1])
+    sub("<", _M_AUTO, lambda m: tag("md_link") + m.group(0)[1:-1])
 
     def element(m: re.Match) -> str:
         name, closing = m.group(2).lower(), m.group(1)
@@ -229,35 +231,35 @@ def parse(text: str) -> Parsed:
         inline = closing and m.end() < len(m.string) and m.string[m.end()] not in "\n<"  # a stray end tag amid a sentence
         return mark + ("\n" if name in _BLOCKS and not inline else "")
 
-    sub(_HTML_TAG, element)
+    sub("<", _HTML_TAG, element)
 
     def entity(m: re.Match) -> str:
         if m.group(1)[0] != "#" and m.group(1) + ";" not in html5:
             return m.group(0)
         return tag("html_entity") + stash(html.unescape(m.group(0)).replace("\xa0", " "))
 
-    sub(_ENTITY, entity)
-
-    sub(_M_TASK, lambda m: m.group(1) + tag("md_list") + stash("-") + (" [x] " if m.group(2) in "xX" else " [ ] "))
-    sub(_M_NOTE_DEF, lambda m: tag("md_footnote"))
-    sub(_M_REF_DEF, lambda m: tag("md_link"))
-    sub(_M_ATX, lambda m: tag("md_heading") + stash(m.group(1)) + " " + m.group(2))
-    sub(_M_SETEXT, lambda m: tag("md_heading") + stash("#" if m.group(2)[0] == "=" else "##") + " " + m.group(1).strip())
-    sub(_M_RULE, lambda m: tag("md_rule"))
-    sub(_M_TABLE_RULE, lambda m: tag("md_table") if "|" in m.group(0) else m.group(0))
-    sub(_M_TABLE, lambda m: tag("md_table") + stash("|") + m.group(1).rstrip() + " |")
-    sub(_W_LIST, lambda m: tag("wiki_list") + stash("-") + " ")
-    sub(_M_LIST, lambda m: m.group(1) + tag("md_list") + stash("-") + " ")
-    sub(_M_NUMBER, lambda m: m.group(1) + tag("md_list") + stash(m.group(2) + ".") + " ")
-    sub(_M_QUOTE, lambda m: tag("md_quote"))
-    sub(_M_INDENT, lambda m: tag("md_code") + m.group(0))
-    sub(_M_IMAGE, lambda m: tag("md_image") + m.group(1))
-    sub(_M_LINK, lambda m: tag("md_link") + m.group(1))
-    sub(_M_NOTE, lambda m: tag("md_footnote"))
-    sub(_M_REF_LINK, lambda m: tag("md_link") + m.group(1))
-    sub(_M_STRIKE, lambda m: tag("md_strike") + m.group(1))
-    sub(_M_BOLD, lambda m: tag("md_emphasis") + (m.group(1) or m.group(2)))
-    sub(_M_EM, lambda m: tag("md_emphasis") + (m.group(1) or m.group(2)))
+    sub("&", _ENTITY, entity)
+
+    sub("[", _M_TASK, lambda m: m.group(1) + tag("md_list") + stash("-") + (" [x] " if m.group(2) in "xX" else " [ ] "))
+    sub("[", _M_NOTE_DEF, lambda m: tag("md_footnote"))
+    sub("[", _M_REF_DEF, lambda m: tag("md_link"))
+    sub("#", _M_ATX, lambda m: tag("md_heading") + stash(m.group(1)) + " " + m.group(2))
+    sub("=-", _M_SETEXT, lambda m: tag("md_heading") + stash("#" if m.group(2)[0] == "=" else "##") + " " + m.group(1).strip())
+    sub("-*_=", _M_RULE, lambda m: tag("md_rule"))
+    sub("|", _M_TABLE_RULE, lambda m: tag("md_table") if "|" in m.group(0) else m.group(0))
+    sub("|", _M_TABLE, lambda m: tag("md_table") + stash("|") + m.group(1).rstrip() + " |")
+    sub("*#:;", _W_LIST, lambda m: tag("wiki_list") + stash("-") + " ")
+    sub("-*+•", _M_LIST, lambda m: m.group(1) + tag("md_list") + stash("-") + " ")
+    sub(".)", _M_NUMBER, lambda m: m.group(1) + tag("md_list") + stash(m.group(2) + ".") + " ")
+    sub(">", _M_QUOTE, lambda m: tag("md_quote"))
+    sub("\t ", _M_INDENT, lambda m: tag("md_code") + m.group(0))
+    sub("!", _M_IMAGE, lambda m: tag("md_image") + m.group(1))
+    sub("[", _M_LINK, lambda m: tag("md_link") + m.group(1))
+    sub("[", _M_NOTE, lambda m: tag("md_footnote"))
+    sub("[", _M_REF_LINK, lambda m: tag("md_link") + m.group(1))
+    sub("~", _M_STRIKE, lambda m: tag("md_strike") + m.group(1))
+    sub("*_", _M_BOLD, lambda m: tag("md_emphasis") + (m.group(1) or m.group(2)))
+    sub("*_", _M_EM, lambda m: tag("md_emphasis") + (m.group(1) or m.group(2)))
     return Parsed(r.text, r.pieces, r.kinds)
 
 
