@@ -30,12 +30,16 @@ def save_index(index: Index, path: str, partitions: int = 0, keep: int = 2) -> s
     name = f"v={_next_version(path)}-{uuid.uuid4().hex[:8]}"
     folder = f"{path.rstrip('/')}/{name}"
     parts = (partitions,) if partitions else ()
-    index.docs.write.parquet(f"{folder}/docs")
-    index.postings.repartitionByRange(*parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
     spark = index.docs.sparkSession
-    written = with_statistics(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/postings"))
-    written.terms.repartitionByRange(*parts, "term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    index.docs.write.parquet(f"{folder}/docs")
+    # Postings are written as they come first: ranges are sampled from a read of that, not from a second analysis.
+    index.postings.write.parquet(f"{folder}/_unsorted")
+    unsorted = spark.read.schema(index.postings.schema).parquet(f"{folder}/_unsorted")
+    unsorted.repartitionByRange(*parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    written = with_statistics(spark.read.parquet(f"{folder}/docs"), spark.read.schema(index.postings.schema).parquet(f"{folder}/postings"))
+    written.terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     written.stats.coalesce(1).write.parquet(f"{folder}/stats")
+    shutil.rmtree(f"{folder}/_unsorted", ignore_errors=True)
     with open(f"{folder}/_META.json", "w") as f:
         json.dump({"format": FORMAT, "version": VERSION}, f)
     with open(tmp := f"{path}/_CURRENT.{uuid.uuid4().hex[:8]}", "w") as f:

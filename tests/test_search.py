@@ -153,3 +153,12 @@ def test_extra_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, "x1 y1", "z", 3)], "id bigint, text string, term string, pos int")
     assert corpus_from_table(df, "id", "text").columns == ["doc_id", "path", "title", "content", "modified_time", "error"]
     assert I.build_index(corpus_from_table(df, "id", "text")).postings.where(F.col("term") == "x1").count() == 1
+
+
+def test_postings_match_those_of_the_shuffle(spark):
+    rows = [(1, "The running of Databases, databases & the caf\u00e9"), (2, None), (3, ""), (4, "seeing " * 3000 + "x"), (4, "seeing again"), (5, "\u65e5\u672c\u8a9e the \U0001f600x")]
+    c = corpus_from_table(spark.createDataFrame(rows[:4] + rows[5:], "id bigint, text string"), "id", "text")
+    key = lambda df: sorted((r["term"], r["doc_id"], r["tf"], tuple(r["positions"])) for r in df.collect())
+    assert key(I.document_postings(c)) == key(I.postings_by_shuffle(c))
+    assert key(I.document_postings(c, ["running"])) == key(I.postings_by_shuffle(c, ["running"]))
+    assert I.document_postings(c.limit(0)).count() == 0
