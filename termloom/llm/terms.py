@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.runtime import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -61,7 +63,7 @@ def term_weights(postings: DataFrame, stats: DataFrame, k1: float = K1, b: float
     weight = idf * saturated, length-normalised tf; a record's length is the sum of its clean tf. Null tf gives
     a null weight.
     """
-    clean = clean_postings(postings)
+    clean = cut(clean_postings(postings))  # read by the lengths, the frequencies and the rows themselves
     lengths = clean.groupBy("doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
     all_n = collection(stats)
     rows = (
