@@ -68,7 +68,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{i}. {x.title} ({x.path}) {x.score:.3f}\n   {x.snippet}")
     elif args.command == "stats":
         s = engine.stats()
-        print(f"documents {s.documents}\nterms {s.terms}\ntokens {s.total_tokens}\naverage length {s.average_document_length:.2f}\nsize {s.index_size_bytes} bytes\ncache hits {s.cache_hits}, misses {s.cache_misses}, rate {s.hit_rate:.2f}")
+        lines = (
+            f"documents {s.documents}", f"terms {s.terms}", f"tokens {s.total_tokens}", f"average length {s.average_document_length:.2f}",
+            f"size {s.index_size_bytes} bytes", f"cache hits {s.cache_hits}, misses {s.cache_misses}, rate {s.hit_rate:.2f}",
+        )
+        print("\n".join(lines))
     else:
         print("the index is saved whenever it is built")
     return 0

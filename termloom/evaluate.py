@@ -14,7 +14,9 @@ def per_query(ranked: DataFrame, judged: DataFrame) -> DataFrame:
     """
     hits = ranked.join(judged, "query").where(F.array_contains("relevant", F.col("doc_id")))
     by_query = hits.groupBy("query").agg(
-        F.sum((F.col("rank") <= 5).cast("int")).alias("in_5"), F.sum((F.col("rank") <= 10).cast("int")).alias("in_10"), F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first")
+        F.sum((F.col("rank") <= 5).cast("int")).alias("in_5"),
+        F.sum((F.col("rank") <= 10).cast("int")).alias("in_10"),
+        F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"),
     )
     out = judged.join(by_query, "query", "left")
     size = F.greatest(F.coalesce(F.size("relevant"), F.lit(0)), F.lit(1))

@@ -26,7 +26,9 @@ def respond(engine: Engine, method: str, target: str, body: bytes = b"") -> tupl
             return _index(engine, body)
         if method == "GET" and url.path.startswith("/documents/"):
             found = engine.get_document(unquote(url.path.removeprefix("/documents/")))
-            return (200, {"id": found["doc_id"], "title": found["title"], "path": found["path"], "token_count": found["token_count"]}) if found else (404, {"error": "document not found"})
+            if not found:
+                return 404, {"error": "document not found"}
+            return 200, {"id": found["doc_id"]} | {k: found[k] for k in ("title", "path", "token_count")}
         return 404, {"error": "not found"}
     except Exception as e:  # whatever goes wrong becomes an answer
         return 500, {"error": str(e)}

@@ -94,7 +94,8 @@ def with_statistics(docs: DataFrame, postings: DataFrame) -> Index:
 def index_diff(scan: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, change): `added`, `updated`, `deleted` or `unchanged` by path and modified_time. A scan row whose
     `error` is set keeps the document it had and is an `error`."""
-    s = scan.select("doc_id", F.col("path").alias("s_path"), F.col("modified_time").alias("s_time"), F.col("error").alias("s_error") if "error" in scan.columns else F.lit(None).cast("string").alias("s_error"))
+    error = F.col("error") if "error" in scan.columns else F.lit(None).cast("string")
+    s = scan.select("doc_id", F.col("path").alias("s_path"), F.col("modified_time").alias("s_time"), error.alias("s_error"))
     d = docs.select("doc_id", F.col("path").alias("d_path"), F.col("modified_time").alias("d_time"))
     same = F.col("s_path").eqNullSafe(F.col("d_path")) & F.col("s_time").eqNullSafe(F.col("d_time"))
     change = (

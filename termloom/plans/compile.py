@@ -6,6 +6,7 @@ the tree becomes a single boolean Column over them. A second, set-based form exi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -165,57 +166,93 @@ def top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), F.asc("doc_id"))).alias("rank"), "doc_id", "score")
 
 
-def search_many(index: Index, queries: dict[str, Node], k: int, ranker: str = "bm25", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
-    """(query, rank, doc_id, score) of many queries in one plan: postings are read once for all of them.
+@dataclass(frozen=True)
+class _Joint:
+    """Several queries evaluated over shared columns: slot i of a query's terms is column i of its own rows."""
+
+    trees: dict[str, Node]
+    slots: dict[str, _Slots]
+
+    def case(self, value: Callable[[str], Column | None]) -> Column:
+        """The value of each row's own query; null for queries without one."""
+        out: Column | None = None
+        for q in self.trees:
+            own = value(q)
+            if own is not None:
+                here = F.col("query") == q
+                out = F.when(here, own) if out is None else out.when(here, own)
+        return F.lit(None) if out is None else out
+
+    def leaf_counts(self, index: Index) -> DataFrame:
+        """(query, doc_id, n_0, n_1, ...): occurrences of the query's own leaves."""
+        rows = [(q, t, i) for q, s in self.slots.items() for i, t in enumerate(s.terms)]
+        wanted = index.docs.sparkSession.createDataFrame(rows, "query string, term string, slot int")
+        positions = any(s.in_phrases for s in self.slots.values())
+        found = F.struct("slot", F.struct(*(["tf", "positions"] if positions else ["tf"])).alias("v"))
+        # One row per term of a query text: a table of the size of the queries.
+        hits = index.postings.join(F.broadcast(wanted), "term")
+        per_doc = hits.groupBy("query", "doc_id").agg(F.map_from_entries(F.collect_list(found)).alias("m"))
+        columns = []
+        for i in range(max(len(s.terms) for s in self.slots.values())):
+            entry = F.try_element_at("m", F.lit(i))
+            columns.append(entry["tf"].alias(f"tf_{i}"))
+            if positions:
+                columns.append(entry["positions"].alias(f"pos_{i}"))
+        wide = per_doc.select("query", "doc_id", *columns)
+        counts = []
+        for i in range(self.most_leaves):
+            n = self.case(lambda q, i=i: _tf(self.slots[q], self.slots[q].leaves[i]) if i < len(self.slots[q].leaves) else None)
+            counts.append(F.coalesce(n.cast("int"), F.lit(0)).alias(f"n_{i}"))
+        return wide.select("query", "doc_id", *counts)
 
-    The queries' terms are a small table joined to the postings; each query's condition and score apply to its own rows.
-    Queries that match documents without any leaf are run by themselves and united.
-    """
-    joint = {q: node for q, node in queries.items() if not holds(node, set()) and _Slots.of(node).terms}
-    alone = {q: node for q, node in queries.items() if holds(node, set())}
-    spark = index.docs.sparkSession
-    results: list[DataFrame] = []
-    if joint:
-        slots = {q: _Slots.of(node) for q, node in joint.items()}
-        rows = [(q, t, i) for q, s in slots.items() for i, t in enumerate(s.terms)]
-        wanted = F.broadcast(spark.createDataFrame(rows, "query string, term string, slot int"))  # one row per term of a query text
-        with_positions = any(s.in_phrases for s in slots.values())
-        value = F.struct("tf", "positions") if with_positions else F.struct("tf")
-        per_doc = index.postings.join(wanted, "term").groupBy("query", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", value.alias("v")))).alias("m"))
-        most = max(len(s.terms) for s in slots.values())
-        wide = per_doc.select("query", "doc_id", *(F.try_element_at("m", F.lit(i))["tf"].alias(f"tf_{i}") for i in range(most)), *([F.try_element_at("m", F.lit(i))["positions"].alias(f"pos_{i}") for i in range(most)] if with_positions else []))
-        most_leaves = max(len(s.leaves) for s in slots.values())
-
-        def per_query(make) -> Column:
-            out = None
-            for q in joint:
-                value = make(q)
-                if value is not None:
-                    out = F.when(F.col("query") == q, value) if out is None else out.when(F.col("query") == q, value)
-            return out if out is not None else F.lit(None)
-
-        counted = wide.select("query", "doc_id", *(F.coalesce(per_query(lambda q, i=i: _tf(slots[q], slots[q].leaves[i]) if i < len(slots[q].leaves) else None).cast("int"), F.lit(0)).alias(f"n_{i}") for i in range(most_leaves)))
-        df_rows = counted.groupBy("query").agg(*(F.sum((F.col(f"n_{i}") > 0).cast("bigint")).alias(f"df_{i}") for i in range(most_leaves)))
-        hits = counted.join(F.broadcast(df_rows), "query").where(F.coalesce(per_query(lambda q: _condition(joint[q], slots[q])), F.lit(False)))
+    @property
+    def most_leaves(self) -> int:
+        return max(len(s.leaves) for s in self.slots.values())
+
+    def scored(self, index: Index, ranker: str, k1: float, b: float) -> DataFrame:
+        """(query, doc_id, score) of every match of every query."""
+        counts = self.leaf_counts(index)
+        dfs = counts.groupBy("query").agg(*(F.sum((F.col(f"n_{i}") > 0).cast("bigint")).alias(f"df_{i}") for i in range(self.most_leaves)))
+        matched = self.case(lambda q: _condition(self.trees[q], self.slots[q]))
+        hits = counts.join(F.broadcast(dfs), "query").where(F.coalesce(matched, F.lit(False)))  # dfs: one row per query
         n, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
         bm25 = ranker_name(ranker) == "bm25"
         if bm25:
             hits = hits.join(index.docs.select("doc_id", "token_count"), "doc_id")
 
-        def weight(q: str) -> Column:
-            parts = [slots[q].leaves.index(x) for x in scoring_leaves(joint[q]) if not (isinstance(x, Term) and not x.value)]
+        def part(i: int) -> Column:
             if bm25:
-                terms_ = [score_bm25(F.col(f"n_{i}"), idf_bm25(n, F.col(f"df_{i}")), F.col("token_count"), avgdl, k1, b) for i in parts]
-            else:
-                terms_ = [score_tfidf(F.col(f"n_{i}"), idf_tfidf(n, F.col(f"df_{i}"))) for i in parts]
-            return reduce(lambda x, y: x + y, terms_, F.lit(0.0))
+                return score_bm25(F.col(f"n_{i}"), idf_bm25(n, F.col(f"df_{i}")), F.col("token_count"), avgdl, k1, b)
+            return score_tfidf(F.col(f"n_{i}"), idf_tfidf(n, F.col(f"df_{i}")))
+
+        def total(q: str) -> Column:
+            parts = [x for x in scoring_leaves(self.trees[q]) if not (isinstance(x, Term) and not x.value)]
+            return reduce(lambda x, y: x + y, (part(self.slots[q].leaves.index(x)) for x in parts), F.lit(0.0))
 
-        score = per_query(weight)
-        best = hits.select("query", "doc_id", (F.round(score, digits) if digits is not None else score).alias("score"))
+        return hits.select("query", "doc_id", self.case(total).alias("score"))
+
+
+def search_many(
+    index: Index, queries: dict[str, Node], k: int, ranker: str = "bm25", k1: float = K1, b: float = B, digits: int | None = None
+) -> DataFrame:
+    """(query, rank, doc_id, score) of many queries in one plan: postings are read once for all of them.
+
+    The queries' terms are a small table joined to the postings; each query's condition and score apply to its own
+    rows. Queries that match documents without any leaf are run by themselves and united.
+    """
+    joint = {q: node for q, node in queries.items() if not holds(node, set()) and _Slots.of(node).terms}
+    results: list[DataFrame] = []
+    if joint:
+        scores = _Joint(joint, {q: _Slots.of(node) for q, node in joint.items()}).scored(index, ranker, k1, b)
+        best = scores if digits is None else scores.withColumn("score", F.round("score", digits))
         order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc_id"))
-        results.append(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score"))
-    for q, node in alone.items():
-        results.append(top_k(scored(index, node, ranker, k1, b), k, digits).select(F.lit(q).alias("query"), "rank", "doc_id", "score"))
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        results.append(ranked.select("query", "rank", "doc_id", "score"))
+    for q, node in queries.items():
+        if holds(node, set()):
+            best = top_k(scored(index, node, ranker, k1, b), k, digits)
+            results.append(best.select(F.lit(q).alias("query"), "rank", "doc_id", "score"))
     if not results:
-        return index.docs.where(F.lit(False)).select(F.lit("").alias("query"), F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score"))
+        none = index.docs.where(F.lit(False))
+        return none.select(F.lit("").alias("query"), F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score"))
     return reduce(lambda x, y: x.unionByName(y), results)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.analyze import title
@@ -18,24 +19,51 @@ def _is_local(root: str) -> bool:
 
 
 def scan_directory(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """(doc_id, path, modified_time[, raw]) of all .md and .txt files below root, whatever the case of the extension.
+    """(doc_id, path, modified_time[, raw, error]) of all .md and .txt files below root, whatever the case of the extension.
 
-    modified_time is in epoch seconds. Paths are given below root as it was written. Without content only names and times
-    are listed, no file is opened. Raises FileNotFoundError for a root that isn't a directory.
+    modified_time is in epoch seconds. Paths are given below root as it was written. Without content only names and
+    times are listed, no file is opened. Below a local root (on a cluster, a folder all executors mount) a file that
+    can't be read has a null raw and the reason in error; elsewhere Spark's own reader opens the files and fails the
+    job. Raises FileNotFoundError for a root that isn't a directory.
     """
-    if _is_local(root) and not os.path.isdir(root.removeprefix("file://")):
+    local = _is_local(root)
+    if local and not os.path.isdir(root.removeprefix("file://")):
         raise FileNotFoundError(f"not a directory: {root}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(root)
-    prefix = os.path.abspath(root.removeprefix("file://")).rstrip("/") if _is_local(root) else root.rstrip("/")
-    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"\+", "%2B")) if _is_local(root) else F.col("path")
+    prefix = os.path.abspath(root.removeprefix("file://")).rstrip("/") if local else root.rstrip("/")
+    plain = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"\+", "%2B")) if local else F.col("path")
     path = F.concat(F.lit(root.rstrip("/") + "/"), F.substr(plain, F.lit(len(prefix) + 2)))
-    columns = [path.alias("path"), F.col("modificationTime").cast("long").alias("modified_time")] + ([F.col("content").alias("raw")] if with_content else [])
-    return files.select(*columns).select(path_id(F.col("path")).alias("doc_id"), "*")
+    columns = [path.alias("path"), F.col("modificationTime").cast("long").alias("modified_time")]
+    if with_content and not local:
+        columns += [F.col("content").alias("raw"), F.lit(None).cast("string").alias("error")]
+    listed = files.select(*columns, *([plain.alias("_file")] if local else []))
+    if with_content and local:
+        listed = listed.withColumn("_read", _read_local(F.col("_file"))).select("path", "modified_time", "_read.raw", "_read.error")
+    return listed.drop("_file").select(path_id(F.col("path")).alias("doc_id"), "*")
+
+
+def _read_local(file: Column) -> Column:
+    """(raw, error) of local files."""
+
+    @F.pandas_udf("raw binary, error string")
+    def read(files: pd.Series) -> pd.DataFrame:
+        raw: list[bytes | None] = []
+        error: list[str | None] = []
+        for f in files:
+            try:
+                with open(f, "rb") as opened:
+                    raw.append(opened.read())
+                error.append(None)
+            except OSError as e:
+                raw.append(None)
+                error.append(e.strerror or type(e).__name__)
+        return pd.DataFrame({"raw": pd.Series(raw, dtype=object), "error": pd.Series(error, dtype=object)})
+
+    return read(file)
 
 
 def as_corpus(scanned: DataFrame) -> DataFrame:
     """(doc_id, path, title, content, modified_time, error): bytes that aren't UTF-8 are kept as replacement characters."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     content = F.coalesce(F.try_validate_utf8(F.col("raw").cast("string")), F.make_valid_utf8(F.col("raw").cast("string")))
-    error = F.when(F.col("raw").isNull(), "unreadable")
-    return scanned.select("doc_id", "path", title(content, stem).alias("title"), content.alias("content"), "modified_time", error.alias("error"))
+    return scanned.select("doc_id", "path", title(content, stem).alias("title"), content.alias("content"), "modified_time", "error")

@@ -18,5 +18,10 @@ def corpus_from_table(df: DataFrame, id_col: str, text_col: str, path_col: str |
         modified = (F.col(modified_col).cast("timestamp") if zoneless else F.col(modified_col)).cast("long")
     rows = df.where(key.isNotNull())
     return rows.select(
-        key.alias("doc_id"), path.alias("path"), title(F.col(text_col), key.cast("string")).alias("title"), F.coalesce(F.col(text_col), F.lit("")).alias("content"), modified.alias("modified_time"), F.lit(None).cast("string").alias("error")
+        key.alias("doc_id"),
+        path.alias("path"),
+        title(F.col(text_col), key.cast("string")).alias("title"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("content"),
+        modified.alias("modified_time"),
+        F.lit(None).cast("string").alias("error"),
     )

@@ -23,7 +23,9 @@ def newest(batch: DataFrame, id_col: str, modified_col: str | None) -> DataFrame
     return batch.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def upsert_stream(engine: Engine, stream: DataFrame, id_col: str, text_col: str, checkpoint: str, modified_col: str | None = None, available_now: bool = True) -> StreamingQuery:
+def upsert_stream(
+    engine: Engine, stream: DataFrame, id_col: str, text_col: str, checkpoint: str, modified_col: str | None = None, available_now: bool = True
+) -> StreamingQuery:
     """Starts a query that upserts each micro-batch into the engine's index.
 
     An upsert of the same batch twice leaves the same index, so a batch that is repeated after a failure does no harm.
