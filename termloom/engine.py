@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
@@ -135,13 +134,11 @@ class Engine:
     def load(self, path: str | None = None) -> None:
         """Switches to the snapshot at a path. Raises IndexLoadError."""
         at = path or self.config.index_path
-        self.index, self.version = load_index(self.spark, at), f"{at}/{current_version(at)}"
+        self.index, self.version = load_index(self.spark, at), f"{at}/{current_version(self.spark, at)}"
         self.cache.invalidate_all()
 
     def load_if_present(self) -> bool:
         """Loads what is at config.index_path; a snapshot that can't be read leaves the engine empty."""
-        if not os.path.isdir(self.config.index_path):
-            return False
         try:
             self.load()
             return True

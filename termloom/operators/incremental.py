@@ -8,12 +8,12 @@ against a processed ledger whatever was given out before.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.files import Files
 from termloom.runtime import cut
 
 
@@ -103,13 +103,11 @@ class ChangeFeed:
     def __init__(self, spark: SparkSession, folder: str, grace_runs: int = 1):
         """grace_runs: so many closed runs are reread besides, for rows of theirs that come late."""
         self.spark, self.folder, self.grace = spark, folder.rstrip("/"), grace_runs
+        self.files = Files(spark)
 
     def _pointer(self) -> dict | None:
-        try:
-            with open(f"{self.folder}/_CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+        text = self.files.read(f"{self.folder}/_CURRENT")
+        return json.loads(text) if text else None
 
     def start(self, initial: DataFrame) -> None:
         """Begins from a first state; does nothing when the feed exists."""
@@ -119,10 +117,7 @@ class ChangeFeed:
             self._commit({"n": 0, "dir": v, "low": 0})
 
     def _commit(self, pointer: dict) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        with open(tmp := f"{self.folder}/_CURRENT.{uuid.uuid4().hex[:8]}", "w") as f:
-            json.dump(pointer, f)
-        os.replace(tmp, f"{self.folder}/_CURRENT")
+        self.files.write(f"{self.folder}/_CURRENT", json.dumps(pointer))
 
     def process(self, listings: DataFrame, runs: DataFrame) -> DataFrame:
         """The changes not given out before: (run_no, path, modified_time)."""

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.files import Files
 from termloom.operators.index import Index, with_statistics
 
 # Name and version of the format.
@@ -26,11 +25,13 @@ def save_index(index: Index, path: str, partitions: int = 0, keep: int = 2) -> s
     Postings are range-partitioned and sorted by term, then document: a lookup by term prunes files and row groups, and the
     documents of a hot term spread over partitions. Readers of older versions are not disturbed; all but the `keep` newest are removed.
     """
-    os.makedirs(path, exist_ok=True)
-    name = f"v={_next_version(path)}-{uuid.uuid4().hex[:8]}"
-    folder = f"{path.rstrip('/')}/{name}"
-    parts = (partitions,) if partitions else ()
     spark = index.docs.sparkSession
+    files, path = Files(spark), path.rstrip("/")
+    files.make(path)
+    versions = _versions(files, path)
+    name = f"v={_number(versions[-1]) + 1 if versions else 1}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/{name}"
+    parts = (partitions,) if partitions else ()
     index.docs.write.parquet(f"{folder}/docs")
     # Postings are written as they come first: ranges are sampled from a read of that, not from a second analysis.
     index.postings.write.parquet(f"{folder}/_unsorted")
@@ -39,43 +40,36 @@ def save_index(index: Index, path: str, partitions: int = 0, keep: int = 2) -> s
     written = with_statistics(spark.read.parquet(f"{folder}/docs"), spark.read.schema(index.postings.schema).parquet(f"{folder}/postings"))
     written.terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
     written.stats.coalesce(1).write.parquet(f"{folder}/stats")
-    shutil.rmtree(f"{folder}/_unsorted", ignore_errors=True)
-    with open(f"{folder}/_META.json", "w") as f:
-        json.dump({"format": FORMAT, "version": VERSION}, f)
-    with open(tmp := f"{path}/_CURRENT.{uuid.uuid4().hex[:8]}", "w") as f:
-        f.write(name)
-    os.replace(tmp, f"{path}/_CURRENT")
-    for old in _versions(path)[:-keep]:
-        shutil.rmtree(f"{path}/{old}", ignore_errors=True)
+    files.delete(f"{folder}/_unsorted")
+    files.write(f"{folder}/_META.json", json.dumps({"format": FORMAT, "version": VERSION}))
+    files.write(f"{path}/_CURRENT", name)
+    for old in _versions(files, path)[:-keep]:
+        files.delete(f"{path}/{old}")
     return folder
 
 
-def _versions(path: str) -> list[str]:
-    names = [x for x in os.listdir(path) if x.startswith("v=")]
-    return sorted(names, key=lambda x: int(x[2:].split("-")[0]))
+def _number(version: str) -> int:
+    return int(version[2:].split("-")[0])
 
 
-def _next_version(path: str) -> int:
-    found = _versions(path)
-    return int(found[-1][2:].split("-")[0]) + 1 if found else 1
+def _versions(files: Files, path: str) -> list[str]:
+    return sorted((x for x in files.names(path) if x.startswith("v=")), key=_number)
 
 
-def current_version(path: str) -> str:
-    try:
-        with open(f"{path}/_CURRENT") as f:
-            return f.read().strip()
-    except OSError as e:
-        raise IndexLoadError(f"no index at {path}") from e
+def current_version(spark: SparkSession, path: str) -> str:
+    name = Files(spark).read(f"{path.rstrip('/')}/_CURRENT")
+    if not name:
+        raise IndexLoadError(f"no index at {path}")
+    return name.strip()
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """The current version. Raises IndexLoadError for whatever can't be read as one."""
-    folder = f"{path.rstrip('/')}/{current_version(path)}"
+    folder = f"{path.rstrip('/')}/{current_version(spark, path)}"
     try:
-        with open(f"{folder}/_META.json") as f:
-            meta = json.load(f)
+        meta = json.loads(Files(spark).read(f"{folder}/_META.json") or "null")
         kind, version = meta["format"], meta["version"]
-    except (OSError, ValueError, TypeError, KeyError) as e:
+    except (ValueError, TypeError, KeyError) as e:
         raise IndexLoadError(f"damaged index at {path}: {e}") from e
     if kind != FORMAT:
         raise IndexLoadError(f"not an index: {path}")

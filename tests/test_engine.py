@@ -108,8 +108,8 @@ def test_store(spark, tmp_path):
         load_index(spark, path)
     for _ in range(3):
         save_index(ix, path)
-    assert len([x for x in os.listdir(path) if x.startswith("v=")]) == 2 and current_version(path).startswith("v=4-")
-    for f in Path(path, current_version(path), "terms").glob("*.parquet"):
+    assert len([x for x in os.listdir(path) if x.startswith("v=")]) == 2 and current_version(spark, path).startswith("v=4-")
+    for f in Path(path, current_version(spark, path), "terms").glob("*.parquet"):
         f.write_bytes(b"no parquet")
     with pytest.raises(IndexLoadError):
         load_index(spark, path).terms.count()
