@@ -267,12 +267,32 @@ def parse(text: str) -> Parsed:
 
 # Labelled pages: blocks and whether they belong to the content.
 LABELLED: tuple[tuple[tuple[str, bool], ...], ...] = (
-    (("<div class=\"nav\"><a href=\"/\">Home</a> <a href=\"/all\">All</a></div>", False), ("<h1>Caches</h1><p>A cache keeps what was read so that it need not be read again soon.</p>", True), ("<hr><a href=\"/imprint\">Imprint</a>", False)),
-    (("[Home](/) | [Index](/index) | [Tags](/tags)", False), ("# Locks\n\nA lock lets one writer in and keeps the others waiting until it is done.\n\n- shared locks\n- exclusive locks", True), ("[^1] [up](#top) [next](/n)", False)),
-    (("{{navbox|left}}", False), ("== Queues ==\nA queue hands its entries out in the order in which they came, which is '''fair'''.", True), ("[[Category:Data]] [[Category:Order]]", False)),
-    (("\\usepackage{math}\\input{head}", False), ("\\section{Trees}\nA tree with n leaves has a depth of at least the logarithm of n, as \\emph{every} level doubles.", True), ("\\bibliography{all}\\label{end}", False)),
-    (("<!-- top --><span>Menu</span>", False), ("The index is written in the background while readers go on with the version they have opened.", True), ("<script>count()</script>&nbsp;", False)),
-)
+    (
+        ('<div class="nav"><a href="/">Home</a> <a href="/all">All</a></div>', False),
+        ("<h1>Caches</h1><p>A cache keeps what was read so that it need not be read again soon.</p>", True),
+        ('<hr><a href="/imprint">Imprint</a>', False),
+    ),
+    (
+        ("[Home](/) | [Index](/index) | [Tags](/tags)", False),
+        ("# Locks\n\nA lock lets one writer in and keeps the others waiting until it is done.\n\n- shared locks\n- exclusive locks", True),
+        ("[^1] [up](#top) [next](/n)", False),
+    ),
+    (
+        ("{{navbox|left}}", False),
+        ("== Queues ==\nA queue hands its entries out in the order in which they came, which is '''fair'''.", True),
+        ("[[Category:Data]] [[Category:Order]]", False),
+    ),
+    (
+        ("\\usepackage{math}\\input{head}", False),
+        ("\\section{Trees}\nA tree with n leaves has a depth of at least the logarithm of n, as \\emph{every} level doubles.", True),
+        ("\\bibliography{all}\\label{end}", False),
+    ),
+    (
+        ("<!-- top --><span>Menu</span>", False),
+        ("The index is written in the background while readers go on with the version they have opened.", True),
+        ("<script>count()</script>&nbsp;", False),
+    ),
+)
 
 
 def _classes(text: str) -> Iterator[str]:

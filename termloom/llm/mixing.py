@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.bpe import TOKENIZERS, token_count
-from termloom.runtime import cut
+from termloom.runtime import BROADCAST_ROWS, cut
 
 #: Hash bins per source in which the cut of a partial repetition is located.
 BINS = 4096
@@ -56,8 +56,13 @@ def feasible_total(sources: Mapping[str, Share]) -> float:
 
 
 def sized_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n_tokens), computed once: tokens are counted once per document and reused by every step."""
-    return cut(docs.select("doc_id", "source", token_count(F.col("text"), vocabulary, folder).alias("n_tokens")))
+    """(doc_id, source, n_tokens), computed once: tokens are counted once per document and reused by every step.
+
+    Repeated rows of a document count once, so that none is drawn more often than allowed; they are combined before
+    the shuffle, which moves sizes only. Rows without doc_id are left out.
+    """
+    counted = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", token_count(F.col("text"), vocabulary, folder).alias("n_tokens"))
+    return cut(counted.distinct())
 
 
 def source_shares(sized: DataFrame, weights: DataFrame) -> dict[str, Share]:
@@ -76,7 +81,14 @@ def _draw(seed: int) -> Column:
     return F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def mix(docs: DataFrame, weights: DataFrame, total_tokens: float | None = None, seed: int = 42, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def mix(
+    docs: DataFrame,
+    weights: DataFrame,
+    total_tokens: float | None = None,
+    seed: int = 42,
+    vocabulary: str = "byte_bpe_50k",
+    folder: str = TOKENIZERS,
+) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, repeats) and its report (source, target_share, max_repeats, available_tokens,
     planned_tokens, reached_tokens, reached_share), one row per weighted source.
 
@@ -96,14 +108,21 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: float | None = None,
     for s, x in sorted(shares.items()):
         whole = int(plan[s] // x.tokens) if x.tokens else 0
         rows.append((s, x.weight, x.max_repeats, int(x.tokens), float(plan[s]), whole, float(plan[s] - whole * x.tokens)))
-    plans = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens bigint, planned_tokens double, whole int, rest double")
-    side = F.broadcast(plans.select("source", "whole", "rest"))  # one row per weighted source
-    own = sized.where(F.col("n_tokens") > 0).join(side, "source").withColumn("h", _draw(seed)).withColumn("bin", F.shiftright("h", 63 - 12).cast("int"))
+    schema = "source string, target_share double, max_repeats int, available_tokens bigint, planned_tokens double, whole int, rest double"
+    plans = spark.createDataFrame(rows, schema)
+
+    def per_source(df: DataFrame) -> DataFrame:
+        """df has a row per weighted source at most."""
+        return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+    own = sized.where(F.col("n_tokens") > 0).join(per_source(plans.select("source", "whole", "rest")), "source")
+    own = own.withColumn("h", _draw(seed)).withColumn("bin", F.shiftright("h", 63 - 12).cast("int"))
     by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = own.groupBy("source", "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
     placed = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(by_bin), F.lit(0)))
-    cuts = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bin") >= F.col("rest"))).select("source", F.col("bin").alias("cut_bin"), "before")
-    at = own.join(F.broadcast(cut(cuts)), "source", "left")  # at most one row per weighted source
+    crossed = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bin") >= F.col("rest"))
+    cuts = cut(placed.where(crossed).select("source", F.col("bin").alias("cut_bin"), "before"))
+    at = own.join(per_source(cuts), "source", "left")
     below = (F.col("rest") > 0) & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
     edge = at.where((F.col("rest") > 0) & (F.col("bin") == F.col("cut_bin")))
     in_order = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,7 +134,7 @@ def mix(docs: DataFrame, weights: DataFrame, total_tokens: float | None = None,
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached"))
     all_reached = mixed.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("repeats")), F.lit(0)).alias("t")).scalar()
     r = F.coalesce("reached", F.lit(0).cast("bigint"))
-    report = plans.join(reached, "source", "left").select(
-        "source", "target_share", "max_repeats", "available_tokens", "planned_tokens", r.alias("reached_tokens"), F.when(all_reached > 0, r / all_reached).otherwise(F.lit(0.0)).alias("reached_share")
-    )
+    share = F.when(all_reached > 0, r / all_reached).otherwise(F.lit(0.0))
+    planned = ("source", "target_share", "max_repeats", "available_tokens", "planned_tokens")
+    report = plans.join(reached, "source", "left").select(*planned, r.alias("reached_tokens"), share.alias("reached_share"))
     return mixed, report

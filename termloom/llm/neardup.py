@@ -73,8 +73,8 @@ def word_shingles(words_col: str, words: int) -> Column:
     Takes a column, not an expression: inside the lambda an expression would be worked out again for every run.
     """
     t = F.col(words_col)
-    runs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(words - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(t, i + F.lit(k)) for k in range(1, words))))
-    return F.array_distinct(runs)
+    starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(words - 1), F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(t, i + F.lit(k)) for k in range(1, words)))))
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:

@@ -17,7 +17,8 @@ def score_bin(score: Column) -> Column:
     """A bin number that never falls as the score rises; at most 2 * PER_OCTAVE * MOST + 3 bins exist."""
     size = F.least(F.greatest(F.log2(F.abs(score)), F.lit(-MOST)), F.lit(MOST))
     step = (F.floor(size * PER_OCTAVE) + F.lit(int(MOST) * PER_OCTAVE + 1)).cast("int")
-    return F.when(score > 0, step).when(score < 0, -(-F.floor(-size * PER_OCTAVE) + F.lit(int(MOST) * PER_OCTAVE + 1)).cast("int")).otherwise(F.lit(0))
+    below = (-F.floor(-size * PER_OCTAVE) + F.lit(int(MOST) * PER_OCTAVE + 1)).cast("int")
+    return F.when(score > 0, step).when(score < 0, -below).otherwise(F.lit(0))
 
 
 def _same(keys: list[str], a: str, b: str) -> Column:
@@ -54,14 +55,16 @@ def top_n(df: DataFrame, keys: list[str], item: str, score: str, n: int, rank: s
     rows of a group, so a group whose scores are all equal doesn't gather in one task either.
     """
     value = F.when(F.col(score) == 0, F.lit(0.0)).otherwise(F.col(score).cast("double"))
-    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(item).isNotNull()).select(*keys, F.col(item).alias("_item"), value.alias("_score"))
+    counts = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(item).isNotNull()
+    scored = df.where(counts).select(*keys, F.col(item).alias("_item"), value.alias("_score"))
     binned = scored.withColumn("_bin", score_bin(F.col("_score")))
     left: DataFrame = scored
     if 1 <= n <= 64:
         heavy = cut(scored.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= heavy_rows).select(*keys))
         floors = cut(group_thresholds(binned, keys, n, heavy))
         side = (F.broadcast(floors) if floors.count() <= BROADCAST_ROWS else floors).alias("f")
-        kept = binned.alias("s").join(side, _same(keys, "s", "f"), "left").where(F.col("f.floor_bin").isNull() | (F.col("s._bin") >= F.col("f.floor_bin")))
+        above = F.col("f.floor_bin").isNull() | (F.col("s._bin") >= F.col("f.floor_bin"))
+        kept = binned.alias("s").join(side, _same(keys, "s", "f"), "left").where(above)
         left = kept.select(*(F.col(f"s.{c}").alias(c) for c in (*keys, "_item", "_score")))
     best = left.groupBy(*keys, "_item").agg(F.max("_score").alias("_score"))
     order = Window.partitionBy(*keys).orderBy(F.desc("_score"), F.asc("_item"))

@@ -51,6 +51,13 @@ def test_whole_and_partial_repetitions(spark):
     assert set(counts) == {2, 3} and abs(counts.count(3) - 200) <= 1 and report["s"]["reached_share"] == 1.0
 
 
+@needs_vocabulary
+def test_repeated_rows_count_once(spark):
+    docs = [(1, "one two three", "s")] * 500 + [(i, "one two three", "s") for i in range(2, 12)] + [(None, "lost", "s")]
+    mixed, report = run(spark, docs, [("s", 1.0, 2)])
+    assert {k: v[2] for k, v in mixed.items()} == {i: 1 for i in range(1, 12)} and report["s"]["available_tokens"] == 33
+
+
 @needs_vocabulary
 def test_empty(spark):
     assert run(spark, [], [])[0] == {}
