@@ -132,7 +132,7 @@ def similar_classes(classes: DataFrame, threshold: float, bands: int, rows: int)
 def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 96, rows: int = 4) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: every pair of records whose shingle sets reach the threshold.
 
-    A pair right at 0.6 is missed by all 96 bands of 4 rows with probability 2e-6, at 0.7 with 7e-12. Null, empty and
+    A pair right at 0.6 is missed by all 96 bands of 4 rows with probability 2e-6, at 0.7 with 4e-12. Null, empty and
     short texts (fewer tokens than `words`) are in no pair; repeated ids with one text count once; other columns are
     ignored. Copies share a class and are expanded at the end only.
     """
