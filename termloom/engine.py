@@ -7,7 +7,7 @@ import time
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.cache import ResponseCache
@@ -15,7 +15,7 @@ from termloom.config import Config
 from termloom.functions.analyze import STOP_WORDS
 from termloom.functions.snippet import snippet_column
 from termloom.operators.index import Index, apply_changes, build_index, index_diff, size_estimate, with_statistics
-from termloom.plans.compile import matches, ranker_name, scored, search_many, top_k
+from termloom.plans.compile import ranker_name, scored, search_many, top_k
 from termloom.plans.query import parse_query
 from termloom.sources.directory import as_corpus, scan_directory
 from termloom.sources.tables import corpus_from_table
@@ -160,13 +160,24 @@ class Engine:
         if known is not None:
             return SearchResponse(query, by, known.total_candidates, _ms(began), True, known.results)
         node = parse_query(query, self.stop_words)
-        total = matches(self.index, node).count()
-        rows = self.results(query, k, by).collect() if total else []
-        results = tuple(SearchResult(r["doc_id"], r["title"], r["path"], r["score"], r["snippet"]) for r in rows)
+        counted = Observation()
+        hits = scored(self.index, node, by, self.config.k1, self.config.b).observe(counted, F.count(F.lit(1)).alias("n"))
+        best = top_k(hits, k).collect()  # at most k rows; the matches are counted on the way
+        total = counted.get.get("n", 0) if best else 0
+        shown = self._shown([r["doc_id"] for r in best], query)
+        results = tuple(SearchResult(r["doc_id"], *shown[r["doc_id"]][:2], r["score"], shown[r["doc_id"]][2]) for r in best)
         response = SearchResponse(query, by, total, _ms(began), False, results)
         self.cache.put(key, response)
         return response
 
+    def _shown(self, ids: list, query: str) -> dict:
+        """Title, path and snippet of a few documents; their ids are a pushed filter of the read."""
+        if not ids:
+            return {}
+        text = snippet_column(F.col("content"), query, self.config.snippet_context_chars)
+        rows = self.index.docs.where(F.col("doc_id").isin(ids)).select("doc_id", "title", "path", text.alias("snippet")).collect()
+        return {r["doc_id"]: (r["title"], r["path"], r["snippet"]) for r in rows}
+
     def results(self, query: str, top: int | None = None, ranker: str | None = None) -> DataFrame:
         """(rank, doc_id, title, path, score, snippet): the same as a DataFrame, nothing collected."""
         c = self.config

@@ -77,8 +77,11 @@ def test_index_search_and_reindex(engine, corpus):
     r = engine.index_directory(str(corpus))
     assert (r.added, r.updated, r.deleted, r.unchanged) == (0, 1, 1, 1)
     assert engine.search("database").results == () and engine.search("vectors").results[0].title == "Changed"
+    for q, n in (("nothing", 0), ("the", 0), ("NOT nothing", 2), ('"kind of machine"', 1), ("vectors OR learning", 2)):
+        assert engine.search(q).total_candidates == n, q
+        assert [x.document_id for x in engine.search(q).results] == [r["doc_id"] for r in engine.results(q).collect()]
     s = engine.stats()
-    assert s.documents == 2 and s.cache_hits == 2
+    assert s.documents == 2 and s.cache_hits == 7
     assert engine.get_document(fnv1a64(f"{corpus}/ml.md"))["token_count"] == 2 and engine.get_document("x") is None
     assert engine.contains(fnv1a64(f"{corpus}/ml.md")) and engine.document_ids().count() == 2 and engine.postings_for("vector").count() == 1
     many = engine.search_many({"q1": "vectors", "q2": "learning"})
