@@ -115,7 +115,7 @@ class Engine:
         began = time.perf_counter()
         corpus = corpus_from_table(df, id_col, text_col, path_col, modified_col)
         self._switch(build_index(corpus, self.stop_words))
-        n = self.index.docs.count()
+        n = self.index.stats.first()["n_docs"]
         return IndexReport(found=n, added=n, duration_ms=_ms(began))
 
     @staticmethod

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.files import Files
 from termloom.operators.index import Index, with_statistics
+from termloom.runtime import at_once
 
 # Name and version of the format.
 FORMAT, VERSION = "termloom-index", 1
@@ -32,14 +33,16 @@ def save_index(index: Index, path: str, partitions: int = 0, keep: int = 2) -> s
     name = f"v={_number(versions[-1]) + 1 if versions else 1}-{uuid.uuid4().hex[:8]}"
     folder = f"{path}/{name}"
     parts = (partitions,) if partitions else ()
-    index.docs.write.parquet(f"{folder}/docs")
     # Postings are written as they come first: ranges are sampled from a read of that, not from a second analysis.
-    index.postings.write.parquet(f"{folder}/_unsorted")
+    at_once(lambda: index.docs.write.parquet(f"{folder}/docs"), lambda: index.postings.write.parquet(f"{folder}/_unsorted"))
     unsorted = spark.read.schema(index.postings.schema).parquet(f"{folder}/_unsorted")
-    unsorted.repartitionByRange(*parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
-    written = with_statistics(spark.read.parquet(f"{folder}/docs"), spark.read.schema(index.postings.schema).parquet(f"{folder}/postings"))
-    written.terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-    written.stats.coalesce(1).write.parquet(f"{folder}/stats")
+    written = with_statistics(spark.read.schema(index.docs.schema).parquet(f"{folder}/docs"), unsorted)
+    ranged = unsorted.repartitionByRange(*parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    at_once(
+        lambda: ranged.write.parquet(f"{folder}/postings"),
+        lambda: written.terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms"),
+        lambda: written.stats.coalesce(1).write.parquet(f"{folder}/stats"),
+    )
     files.delete(f"{folder}/_unsorted")
     files.write(f"{folder}/_META.json", json.dumps({"format": FORMAT, "version": VERSION}))
     files.write(f"{path}/_CURRENT", name)
