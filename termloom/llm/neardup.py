@@ -19,6 +19,14 @@ from pyspark.sql import functions as F
 from termloom.functions.analyze import LOWER, UPPER, tokens
 from termloom.runtime import cut
 
+#: Scripts written without spaces, each character of which is a word; the marks and the space used with them, which are none; blanks.
+UNSPACED = "".join(
+    rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Javanese Balinese Tai_Le New_Tai_Lue Tai_Tham Tai_Viet".split()
+) + r"\x{30FC}\x{FF70}"
+_CJK_MARKS = r"\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{303D}\x{30FB}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
+_WORD = rf"[{UNSPACED}]\p{{M}}*|[A-Za-z0-9\x{{80}}-\x{{10FFFF}}&&[^{UNSPACED}{_CJK_MARKS}]]+"
+_NOT_BLANK = r"[^\s\x{85}\p{Z}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,13 +75,21 @@ def folded_tokens(text: Column) -> Column:
     return tokens(F.translate(text, UPPER, LOWER))
 
 
-def word_shingles(words_col: str, words: int) -> Column:
+def split_words(text: Column) -> Column:
+    """The tokens of a text in ASCII lower case, scripts without spaces split into characters; none for null and blank texts."""
+    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_WORD), F.lit(0))
+    return F.when(text.rlike(_NOT_BLANK), words).otherwise(F.array().cast("array<string>"))
+
+
+def word_shingles(words_col: str, words: int, short: bool = False) -> Column:
     """Distinct hashes of all runs of `words` consecutive entries of an array column; empty where there are fewer.
 
+    short: fewer, but at least one, are one run (a hash passes over the nulls beyond the end).
+
     Takes a column, not an expression: inside the lambda an expression would be worked out again for every run.
     """
     t = F.col(words_col)
-    starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(words - 1), F.lit(0)))
+    starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - F.lit(words - 1), F.least(F.size(t), F.lit(1)) if short else F.lit(0)))
     return F.array_distinct(F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(t, i + F.lit(k)) for k in range(1, words)))))
 
 
@@ -97,16 +113,22 @@ def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("class_id", "n", "shingles").mapInPandas(keyed, "key bigint, class_id bigint, n int")
 
 
-def shingle_classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+def shingle_classes(docs: DataFrame, id_col: str, text_col: str, words: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """members (class_id, id) and classes (class_id, n, shingles): records with the same shingle set share a class.
 
     class_id is a 64-bit hash of the set's sorted elements and its size. Records without shingles or without an id are left out.
+    every: no record is left out. Words are those of split_words, fewer than `words` are one shingle; records without words share
+    the class of the empty set, which is a class of members only.
     """
-    split = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("_words"))
-    # The filter is on the tokens: one on the shingles would be pushed below them and take the tokenizer into the lambda.
-    sets = split.where(F.size("_words") >= words).select("id", F.sort_array(word_shingles("_words", words)).alias("shingles"))
+    if every:
+        sets = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("_words"))
+    else:
+        split = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), folded_tokens(F.col(text_col)).alias("_words"))
+        # The filter is on the tokens: one on the shingles would be pushed below them and take the tokenizer into the lambda.
+        sets = split.where(F.size("_words") >= words)
+    sets = sets.select("id", F.sort_array(word_shingles("_words", words, every)).alias("shingles"))
     own = cut(sets.select(F.xxhash64("shingles", F.size("shingles")).alias("class_id"), "id", "shingles"))
-    classes = own.groupBy("class_id").agg(F.first("shingles").alias("shingles")).select("class_id", F.size("shingles").alias("n"), "shingles")
+    classes = own.where(F.size("shingles") > 0).groupBy("class_id").agg(F.first("shingles").alias("shingles")).select("class_id", F.size("shingles").alias("n"), "shingles")
     return own.select("class_id", "id"), cut(classes)
 
 
@@ -147,12 +169,12 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, words: int
     return linked.unionByName(within.select(F.col("m.id").alias("id_a"), F.col("k.id").alias("id_b"), F.lit(1.0).alias("similarity"))).distinct()
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 96, rows: int = 4) -> DataFrame:
-    """(id, class_id, copies, links): one row per record with shingles.
+def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 96, rows: int = 4, every: bool = False) -> DataFrame:
+    """(id, class_id, copies, links): one row per record with shingles, or per record (every, see shingle_classes).
 
     copies is the number of records in its class of equal sets, links the number of other classes that reach the threshold with it.
     """
-    members, classes = shingle_classes(docs, id_col, text_col, words)
+    members, classes = shingle_classes(docs, id_col, text_col, words, every)
     links = cut(similar_classes(classes, threshold, bands, rows))
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))

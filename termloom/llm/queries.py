@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
     """The stages' usual setting, five words and 0.8, one row per document."""
-    return near_duplicate_links(table(spark, d, "documents"), "doc_id", "text", words=5, threshold=0.8)
+    return near_duplicate_links(table(spark, d, "documents"), "doc_id", "text", words=5, threshold=0.8, every=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

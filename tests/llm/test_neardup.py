@@ -2,9 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.functions.analyze import py_lower, py_tokens
 from termloom.llm.neardup import near_duplicate_links, near_duplicate_pairs, signatures
+from termloom.llm.queries import p3_links
+from termloom.runtime import table
 
 SCHEMA = "id string, content string, class_id int, shingles string, n int"
 
@@ -54,6 +57,19 @@ def test_links(spark):
     assert ids["a"] == ids["b"] != ids["c"]
 
 
+def test_links_of_every_record(spark, sf):
+    ja = "小さな通信路を調べる前に、通信路を確かめる必要がある。キャッシュは秒後に文書を削除する。"
+    rows = [("j1", ja), ("j2", ja.replace("、", "，")), ("j3", ja.replace("削除", "追加")), ("s1", "One two"), ("s2", "one, two"), ("s3", "one two three four five"), ("k", "東京")]
+    rows += [("n", None), ("e", ""), ("b", " \u00a0\n\u3000"), ("p", "...")]
+    got = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in near_duplicate_links(frame(spark, rows), "id", "content", 5, 0.7, every=True).collect()}
+    assert {k: v[1:] for k, v in got.items()} == {
+        "j1": (2, 1), "j2": (2, 1), "j3": (1, 1), "s1": (2, 0), "s2": (2, 0), "s3": (1, 0), "k": (1, 0), "n": (4, 0), "e": (4, 0), "b": (4, 0), "p": (4, 0)
+    }
+    assert got["s1"][0] == got["s2"][0] and len({got[k][0] for k in "neb"}) == 1 and len({v[0] for v in got.values()}) == 6
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(p3_links(spark, sf).select(F.col("id").alias("doc_id"))) == ids(table(spark, sf, "documents").select("doc_id"))
+
+
 def test_empty_long_and_repeated(spark):
     assert near_duplicate_pairs(frame(spark, []), "id", "content").count() == 0
     long = " ".join(f"x{i}" for i in range(20000))
