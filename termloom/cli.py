@@ -46,8 +46,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(e, file=sys.stderr)
             return 1
         print(f"found {r.found}, added {r.added}, updated {r.updated}, deleted {r.deleted}, unchanged {r.unchanged}, errors {r.errors} in {r.duration_ms:.0f} ms")
-        for path, reason in r.error_details:
-            print(f"  {path}: {reason}")
+        for e in r.error_rows.orderBy("path").toLocalIterator():
+            print(f"  {e['path']}: {e['error']}")
         return int(r.errors > 0)
     if args.command == "serve":
         from termloom.http import serve

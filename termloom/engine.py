@@ -17,10 +17,14 @@ from termloom.functions.snippet import snippet_column
 from termloom.operators.index import Index, apply_changes, build_index, index_diff, size_estimate, with_statistics
 from termloom.plans.compile import ranker_name, scored, search_many, top_k
 from termloom.plans.query import parse_query
+from termloom.runtime import cut
 from termloom.sources.directory import as_corpus, scan_directory
 from termloom.sources.tables import corpus_from_table
 from termloom.store import IndexLoadError, current_version, load_index, save_index
 
+#: Unreadable files that a report shows by itself; error_rows has them all.
+SHOWN_ERRORS = 1000
+
 _EMPTY_DOCS = "doc_id {id}, path string, title string, token_count int, modified_time bigint, content string"
 _EMPTY_POSTINGS = "term string, doc_id {id}, tf int, positions array<int>"
 
@@ -49,6 +53,8 @@ class SearchResponse:
 
 @dataclass(frozen=True)
 class IndexReport:
+    """found = added + updated + unchanged + errors. error_rows: (doc_id, path, error) of all unreadable files, error_details the first by path."""
+
     found: int = 0
     added: int = 0
     updated: int = 0
@@ -57,6 +63,7 @@ class IndexReport:
     errors: int = 0
     error_details: tuple[tuple[str, str], ...] = field(default=())
     duration_ms: float = 0.0
+    error_rows: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -95,20 +102,23 @@ class Engine:
             scan = as_corpus(scan_directory(self.spark, root))
             ok = scan.where(F.col("error").isNull())
             found = scan.count()
-            errors = self._errors(scan)
+            bad = self._errors(scan)
+            errors = bad.count()
             self._switch(build_index(ok, self.stop_words))
-            return IndexReport(found=found, added=found - len(errors), errors=len(errors), error_details=errors, duration_ms=_ms(began))
+            return IndexReport(found=found, added=found - errors, errors=errors, error_details=self._excerpt(bad), duration_ms=_ms(began), error_rows=bad)
         diff = index_diff(listed, self.index.docs).cache()
         try:
             counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
             corpus = as_corpus(scan_directory(self.spark, root).join(diff.where(F.col("change").isin("added", "updated")), "doc_id", "left_semi"))
-            errors = self._errors(corpus)
-            bad = corpus.where(F.col("error").isNotNull()).select("doc_id")
-            self._switch(apply_changes(self.index, diff.join(bad, "doc_id", "left_anti"), corpus.where(F.col("error").isNull()), self.stop_words))
+            bad = self._errors(corpus)
+            failed = {r["change"]: r["count"] for r in diff.join(bad, "doc_id", "left_semi").groupBy("change").count().collect()}
+            self._switch(apply_changes(self.index, diff.join(bad.select("doc_id"), "doc_id", "left_anti"), corpus.where(F.col("error").isNull()), self.stop_words))
         finally:
             diff.unpersist()
-        n = {k: counts.get(k, 0) for k in ("added", "updated", "deleted", "unchanged")}
-        return IndexReport(found=n["added"] + n["updated"] + n["unchanged"], errors=len(errors), error_details=errors, duration_ms=_ms(began), **n)
+        n = {k: counts.get(k, 0) - failed.get(k, 0) for k in ("added", "updated", "deleted", "unchanged")}
+        errors = sum(failed.values())
+        found = n["added"] + n["updated"] + n["unchanged"] + errors
+        return IndexReport(found=found, errors=errors, error_details=self._excerpt(bad), duration_ms=_ms(began), error_rows=bad, **n)
 
     def index_table(self, df: DataFrame, id_col: str, text_col: str, path_col: str | None = None, modified_col: str | None = None) -> IndexReport:
         """Builds the index over a table instead; it replaces what was indexed."""
@@ -119,9 +129,13 @@ class Engine:
         return IndexReport(found=n, added=n, duration_ms=_ms(began))
 
     @staticmethod
-    def _errors(corpus: DataFrame) -> tuple[tuple[str, str], ...]:
-        rows = corpus.where(F.col("error").isNotNull()).select("path", "error").limit(1000).collect()
-        return tuple((r["path"], r["error"]) for r in rows)
+    def _errors(corpus: DataFrame) -> DataFrame:
+        """(doc_id, path, error) of all files that couldn't be read, written once so that count, list and index agree."""
+        return cut(corpus.where(F.col("error").isNotNull()).select("doc_id", "path", "error"))
+
+    @staticmethod
+    def _excerpt(bad: DataFrame) -> tuple[tuple[str, str], ...]:
+        return tuple((r["path"], r["error"]) for r in bad.orderBy("path").limit(SHOWN_ERRORS).collect())
 
     def _switch(self, index: Index) -> None:
         save_index(index, self.config.index_path)

@@ -60,6 +60,23 @@ def test_unreadable_files_are_reported(spark, corpus, engine):
     assert engine.search("ok").total_candidates == 1
 
 
+def test_all_errors_are_counted_and_listed(spark, corpus, engine, monkeypatch, tmp_path, capsys):
+    def scan(spark, root, with_content=True):
+        ids = spark.range(1200).select(F.concat(F.lit("bad"), "id").alias("doc_id"), F.concat(F.lit("bad/"), "id", F.lit(".md")).alias("path"), F.lit(1).cast("long").alias("modified_time"))
+        if with_content:
+            ids = ids.withColumns({"raw": F.lit(None).cast("binary"), "error": F.lit("Permission denied")})
+        return scan_directory(spark, root, with_content).unionByName(ids)
+
+    monkeypatch.setattr("termloom.engine.scan_directory", scan)
+    for added, unchanged in ((3, 0), (0, 3)):  # a full run, an incremental one
+        r = engine.index_directory(str(corpus))
+        assert (r.found, r.added, r.updated, r.unchanged, r.errors) == (1203, added, 0, unchanged, 1200)
+        assert {tuple(x) for x in r.error_rows.select("path", "error").collect()} == {(f"bad/{i}.md", "Permission denied") for i in range(1200)}
+        assert len(r.error_details) == 1000 and r.error_details[0] == ("bad/0.md", "Permission denied")
+    assert main(["--index", str(tmp_path / "cli"), "index", str(corpus)], spark) == 1
+    assert capsys.readouterr().out.count("Permission denied") == 1200
+
+
 def test_index_search_and_reindex(engine, corpus):
     r = engine.index_directory(str(corpus))
     assert (r.found, r.added, r.errors) == (3, 3, 0)
