@@ -1,8 +1,8 @@
 """Processing only new or changed records.
 
 `replay_changes` answers it for a whole log of runs at once, as one plan; `ChangeFeed` is the same for a live
-log: each call rereads from the oldest run that was still open at the last call and removes by an anti-join
-against a processed ledger whatever was given out before.
+log: each call rereads from the oldest run that was still open at the last call, or from the first state when an older
+run has rows not seen before, and removes by an anti-join against a processed ledger whatever was given out before.
 """
 
 from __future__ import annotations
@@ -92,16 +92,26 @@ def open_from(runs: DataFrame, after: int) -> int:
     return row["open"] if row["open"] is not None else max(after, row["last"] or after) + 1
 
 
+def _ok_rows(listings: DataFrame, runs: DataFrame) -> DataFrame:
+    """The different listed rows of the successful runs, and a row without path for each such run."""
+    ok = ok_runs(runs).select("run_no")
+    own = listings.select("run_no", "path", "modified_time", "listed_at").join(ok, "run_no", "left_semi")
+    marks = ok.select("run_no", *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns[1:]))
+    return own.unionByName(marks).distinct()
+
+
 class ChangeFeed:
-    """Gives out each change exactly once, over calls that may fail anywhere.
+    """Gives out each change exactly once, over calls that may fail anywhere and rows and verdicts that come however late.
 
-    Folder layout: `v=<n>/changes`, `v=<n>/processed` (pairs given out from the reread window on), `v=<n>/base`
-    (the state before that window) and `_CURRENT`, the one-file commit: a call writes a new version aside, then
+    A change that a late row makes needless after it was given out is not taken back.
+
+    Folder layout: `v=0/base` (the first state), `v=<n>/changes`, `v=<n>/processed` (all changes given out), `v=<n>/seen` (the
+    rows of successful runs before the reread window), `v=<n>/base` (the state before that window) and `_CURRENT`, the one-file commit: a call writes a new version aside, then
     replaces the pointer. A call that dies before that leaves the last version in force and is simply repeated.
     """
 
     def __init__(self, spark: SparkSession, folder: str, grace_runs: int = 1):
-        """grace_runs: so many closed runs are reread besides, for rows of theirs that come late."""
+        """grace_runs: so many closed runs are reread besides; later rows of theirs don't need the whole log to be read again."""
         self.spark, self.folder, self.grace = spark, folder.rstrip("/"), grace_runs
         self.files = Files(spark)
 
@@ -114,7 +124,7 @@ class ChangeFeed:
         if self._pointer() is None:
             v = f"{self.folder}/v=0-{uuid.uuid4().hex[:8]}"
             initial.select("path", "modified_time").write.parquet(f"{v}/base")
-            self._commit({"n": 0, "dir": v, "low": 0})
+            self._commit({"n": 0, "dir": v, "low": 0, "start": v})
 
     def _commit(self, pointer: dict) -> None:
         self.files.write(f"{self.folder}/_CURRENT", json.dumps(pointer))
@@ -124,8 +134,15 @@ class ChangeFeed:
         now = self._pointer()
         if now is None:
             raise ValueError("start() gives the feed its first state")
-        low = now["low"]
-        base = self.spark.read.parquet(f"{now['dir']}/base")
+        if "start" not in now:
+            raise ValueError("this feed was written without a ledger of seen rows; start() a new one")
+        low, at = now["low"], now["dir"]
+        if now["n"]:
+            seen = self.spark.read.parquet(f"{at}/seen")
+            own = _ok_rows(listings.where(F.col("run_no") < low), runs.where(F.col("run_no") < low))
+            if not own.subtract(seen).isEmpty():
+                low, at = 0, now["start"]
+        base = self.spark.read.parquet(f"{at}/base")
         window: Column = F.col("run_no") >= low
         rows, log = listings.where(window), runs.where(window)
         changes = replay_changes(rows, log, base)
@@ -137,8 +154,9 @@ class ChangeFeed:
         fresh = self.spark.read.parquet(f"{v}/changes")
         then = max(low, open_from(runs, low - 1) - self.grace)
         given = self.spark.read.parquet(f"{now['dir']}/processed").unionByName(fresh) if now["n"] else fresh
-        given.where(F.col("run_no") >= then).write.parquet(f"{v}/processed")
+        given.write.parquet(f"{v}/processed")
         before = F.col("run_no") < then
         state_after(rows.where(before), log.where(before), base).write.parquet(f"{v}/base")
-        self._commit({"n": now["n"] + 1, "dir": v, "low": then})
+        _ok_rows(listings.where(before), runs.where(before)).write.parquet(f"{v}/seen")
+        self._commit({"n": now["n"] + 1, "dir": v, "low": then, "start": now["start"]})
         return fresh

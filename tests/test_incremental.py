@@ -117,3 +117,21 @@ def test_feed_rereads_from_the_oldest_open_run(spark, tmp_path):
     then = [*first, (2, "c", 1, 9)]
     assert {tuple(r)[:2] for r in feed.process(spark.createDataFrame(then, schema), runs((1, "ok"), (2, "ok"))).collect()} == {(2, "b"), (2, "c")}
     assert incremental.open_from(runs((1, "ok"), (2, "ok")), 1) == 3
+
+
+def test_feed_takes_rows_of_any_closed_run(spark, tmp_path):
+    listings = lambda x: spark.createDataFrame(x, "run_no int, path string, modified_time bigint, listed_at bigint")
+    runs = lambda *x: spark.createDataFrame(x, "run_no int, status string")
+    feed = ChangeFeed(spark, str(tmp_path / "late"))
+    feed.start(spark.createDataFrame([("a", 1)], "path string, modified_time bigint"))
+    rows = [(n, "a", n, n) for n in range(1, 6)] + [(2, "c", 1, 2)]
+    log = [(1, "ok"), (2, None), (3, "ok"), (4, "ok"), (5, "ok")]
+    process = lambda: {tuple(r) for r in feed.process(listings(rows), runs(*log)).collect()}
+    log[1] = (2, "failed")
+    assert process() == {(n, "a", n) for n in (2, 3, 4, 5)} - {(2, "a", 2)} and feed._pointer()["low"] == 5
+    rows += [(1, "b", 7, 99), (3, "b", 7, 99)]
+    assert process() == {(1, "b", 7)} and feed._pointer()["low"] == 5
+    assert process() == set()
+    log[1] = (2, "ok")  # a verdict that is changed late
+    assert process() == {(2, "a", 2), (2, "c", 1), (3, "b", 7)}
+    assert process() == set()
