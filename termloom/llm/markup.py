@@ -292,6 +292,26 @@ LABELLED: tuple[tuple[tuple[str, bool], ...], ...] = (
         ("The index is written in the background while readers go on with the version they have opened.", True),
         ("<script>count()</script>&nbsp;", False),
     ),
+    (
+        ("![logo](logo.png) ![badge](badge.png)\n\n---", False),
+        ("> A page is read once.\n\nThe **first** reader pays for it, which `read_page` counts, and ~~never~~ seldom waits.\n\n```\nread_page(7)\n```", True),
+        ("| name | bytes |\n|---|---|\n| page | 4096 bytes for every page that is read from disk |", True),
+        ("The cost is $c = n \\log n$ for n pages, see the plan ![plan](plan.png) and the note[^2] below.", True),
+        ("---\n\n[Back](/) [Next](/n)", False),
+    ),
+    (
+        ("__NOTOC__ __NOEDITSECTION__ {{stub}}", False),
+        ("** each segment holds its own terms\n** each merge joins two of them into one larger segment", True),
+        ("{| class=\"wide\"\n|-\n| segment || number of documents in it\n|-\n| first || four thousand of them\n|}", True),
+        ("A '''merge''' is done when [[segment|segments]] of one size are many &ndash; seldom more than ten.", True),
+        ("{| class=\"navbox\"\n|-\n| [[A]] || [[B]]\n|}", False),
+    ),
+    (
+        ("\\begin{document}\\maketitle", False),
+        ("\\begin{itemize}\n\\item the leaf holds the keys\n\\item the root holds the way to them\n\\end{itemize}", True),
+        ("The height is \\( h \\) and grows with \\[ \\log n \\] as keys are added to the tree.", True),
+        ("\\end{document}", False),
+    ),
 )
 
 

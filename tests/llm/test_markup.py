@@ -1,6 +1,6 @@
 import pytest
 
-from termloom.llm.markup import LABELLED, clean_markup, content_region, fit_weights, parse
+from termloom.llm.markup import KINDS, LABELLED, clean_markup, content_region, fit_weights, parse
 
 MARKED = {
     "md_heading": ["# Head", "### Head ##", "Head\n====", "Some head\n---"], "md_rule": ["a\n\n---\n\nb", "* * *"], "md_list": ["- one\n- two", "3. three", "* [x] done", "+ plus"],
@@ -57,6 +57,11 @@ def test_weights_and_region():
     assert content_region(parse("")) == (0, 0, 0.0) and content_region(parse("<br><br>")) == (0, 0, 0.0)
 
 
+def test_labelled_pages_hold_every_kind():
+    held = {k for page in LABELLED for block, _ in page for k in parse(block).kinds}
+    assert held == set(KINDS)
+
+
 def test_operator(spark):
     schema = "id string, content string, title string, field string, tags int, text string"
     rows = [("a", "# H\n\nx", "T"), ("b", None, None), ("c", "", "**t**"), (None, "plain", "<b>x"), ("a", "# H\n\nx", "T"), ("l", "w " * 100000 + "*e*", "\U000f0001 private \U000f1000" + "0\U000f1001")]
