@@ -57,15 +57,18 @@ class Parsed:
     def clean(self, start: int = 0, end: int | None = None) -> str:
         """The text between two offsets of `tagged`, without marks, stash filled in, blank space tidied."""
         text = self.tagged[start:end]
-        for _ in range(4):
-            if _OPEN not in text:
-                break
+        while _STASHED.search(text):  # a piece holds only earlier ones
             text = _STASHED.sub(lambda m: self.pieces[int(m.group(1))], text)
         text = _PRIVATE.sub("", text)
         text = re.sub(r"[ \t]+\n", "\n", text)
         return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def _unescape(s: str) -> str:
+    """HTML entities replaced; the marks in s stay, and no entity gives a new one."""
+    return "".join(p if _PRIVATE.match(p) else _PRIVATE.sub("\ufffd", html.unescape(p)) for p in re.split(f"({_PRIVATE.pattern})", s))
+
+
 class _Reader:
     def __init__(self, text: str):
         self.text = _PRIVATE.sub("\ufffd", text.replace("\r\n", "\n").replace("\r", "\n"))
@@ -85,6 +88,12 @@ class _Reader:
         if any(c in self.text for c in need):
             self.text = pattern.sub(f, self.text)
 
+    def sub_all(self, need: str, pattern: re.Pattern, f: Callable[[re.Match], str]) -> None:
+        """The same until nothing is found: constructs inside one another, from the innermost out."""
+        found = 1
+        while found and any(c in self.text for c in need):
+            self.text, found = pattern.subn(f, self.text)
+
 
 def _c(pattern: str, flags: int = 0) -> re.Pattern:
     return re.compile(pattern, flags)
@@ -103,7 +112,7 @@ _MATH_TAG = _c(r"<math\b[^>]*>(.*?)</math\s*>", _S | _I)
 _DISPLAY = _c(r"\$\$(?!\s*\$)(.+?)\$\$", _S)
 _BRACKET = _c(r"\\\[((?:(?!\\\[).)+?)\\\]", _S)
 _PAREN = _c(r"\\\(((?:(?!\\\().)+?)\\\)", _S)
-_INLINE = _c(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,400}?)(?<=[^\s\\])\$(?![\d$])")
+_INLINE = _c(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?)(?<=[^\s\\])\$(?![\d$])")
 _MATHY = _c(r"[\\^_{}=]|^\s*[A-Za-z]\s*$|[A-Za-z]\s*[-+*/<>]\s*\w|\w\s*[-+*/<>]\s*[A-Za-z]|^[A-Za-z]\([^)]*\)$")
 _TICKS = _c(r"(?<!`)(`{1,2})(?!`)([^\n]*?[^\n`])\1(?!`)")
 _DRIVE = _c(r"(?<![A-Za-z0-9])[A-Za-z]:(?:\\[\w.$ -]*\w)+\\?|(?<!\\)\\\\[\w.-]+(?:\\[\w.$-]+)+")
@@ -140,7 +149,7 @@ _W_LIST = _c(r"^[ \t]*([*#:;]{2,}|[#:;])[ \t]+(?=\S)", _M)
 _M_QUOTE = _c(r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)", _M)
 _M_NOTE_DEF = _c(r"^[ \t]{0,3}\[\^[^\]\s]+\]:[ \t]*", _M)
 _M_REF_DEF = _c(r"^[ \t]{0,3}\[[^\]\n^]+\]:[ \t]+\S+[^\n]*$", _M)
-_M_NOTE = _c(r"\[\^[^\]\s]{1,40}\]")
+_M_NOTE = _c(r"\[\^(?:[^\[\]\s]|\[(?!\^))+\]")
 _M_IMAGE = _c(r"!\[([^\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])")
 _M_LINK = _c(r"(?<!!)\[([^\[\]\n]+)\]\([^()\s]*(?:[ \t]+[\"'(][^\n)]*)?\)")
 _M_REF_LINK = _c(r"(?<![!\w\])])\[([^\[\]\n]+)\]\[([^\[\]\n]*)\](?!\[)")
@@ -169,8 +178,8 @@ def parse(text: str) -> Parsed:
     sub("<", _HIDDEN, lambda m: tag("html_tag"))
     sub("`~", _FENCE, lambda m: tag("md_code") + stash(f"```{m.group(2).strip()}\n{m.group(3).rstrip()}\n```") + "\n")
     sub("`~", _FENCE_LINE, lambda m: tag("md_code"))
-    sub("<", _PRE, lambda m: tag("html_tag") + stash("\n```\n" + html.unescape(re.sub(r"</?code[^>]*>", "", m.group(2), flags=re.I)).strip() + "\n```\n"))
-    sub("<", _CODE_TAG, lambda m: tag("html_tag") + stash(f"`{html.unescape(m.group(2))}`"))
+    sub("<", _PRE, lambda m: tag("html_tag") + stash("\n```\n" + _unescape(re.sub(r"</?code[^>]*>", "", m.group(2), flags=re.I)).strip() + "\n```\n"))
+    sub("<", _CODE_TAG, lambda m: tag("html_tag") + stash(f"`{_unescape(m.group(2))}`"))
     sub("\\", _VERBATIM, lambda m: tag("latex_environment") + stash(f"\n```\n{m.group(2).strip()}\n```\n"))
     sub("\\", _MATH_ENV, lambda m: tag("formula") + stash(f"$$ {m.group(3).strip()} $$"))
     sub("<", _MATH_TAG, lambda m: tag("formula") + stash(f"${m.group(1).strip()}$"))
@@ -188,20 +197,14 @@ def parse(text: str) -> Parsed:
     sub("\\", _L_ENV, lambda m: tag("latex_environment"))
     if in_table:
         sub("&", _c(r"[ \t]&[ \t]"), lambda m: " | ")
-    for _ in range(3):
-        if "\\" not in r.text:
-            break
-        sub("\\", _L_ARG, lambda m: tag("latex_command") + m.group(2))
+    r.sub_all("\\", _L_ARG, lambda m: tag("latex_command") + m.group(2))
     sub("\\", _L_ITEM, lambda m: tag("latex_command") + stash("-") + " " + (m.group(1) or ""))
     sub("\\", _L_BARE, lambda m: tag("latex_command"))
     sub("~", _c(r"(?<=\w)~(?=[A-Za-z\U000f0000-\U000fffff])"), lambda m: " ")
 
     sub("#", _W_REDIRECT, lambda m: tag("wiki_magic"))
     sub("{", _W_PARAM, lambda m: tag("wiki_template"))
-    for _ in range(4):
-        if "{{" not in r.text:
-            break
-        sub("{", _W_TEMPLATE, lambda m: tag("wiki_template") + _template(m.group(1)))
+    r.sub_all("{", _W_TEMPLATE, lambda m: tag("wiki_template") + _template(m.group(1)))
     sub("{}", _W_OPEN_TEMPLATE, lambda m: tag("wiki_template"))
     sub("[", _W_FILE, lambda m: tag("wiki_link") + ((m.group(1) or "").split("|")[-1]))
     sub("[", _W_CATEGORY, lambda m: tag("wiki_link"))
@@ -236,7 +239,7 @@ def parse(text: str) -> Parsed:
     def entity(m: re.Match) -> str:
         if m.group(1)[0] != "#" and m.group(1) + ";" not in html5:
             return m.group(0)
-        return tag("html_entity") + stash(html.unescape(m.group(0)).replace("\xa0", " "))
+        return tag("html_entity") + stash(_unescape(m.group(0)).replace("\xa0", " "))
 
     sub("&", _ENTITY, entity)
 

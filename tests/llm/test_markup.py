@@ -57,6 +57,17 @@ def test_weights_and_region():
     assert content_region(parse("")) == (0, 0, 0.0) and content_region(parse("<br><br>")) == (0, 0, 0.0)
 
 
+def test_no_construct_is_too_long_or_too_deep():
+    p = parse("so $x = " + "y + " * 200 + "z$ holds")
+    assert p.kinds == {"formula": 1} and p.clean().endswith("y + z$ holds")
+    assert parse("a[^" + "n" * 60 + "] b").clean() == "a b" and parse("[^" * 20000).kinds["md_footnote"] == 0
+    assert parse("\\emph{a " * 7 + "b" + "}" * 7).clean() == "a " * 7 + "b"
+    assert parse("{{see|a " * 7 + "b" + "}}" * 7).clean() == "a " * 7 + "b"
+    nested = r"\( \[ $$ `<math>\begin{equation}x = 1\end{equation}</math>` $$ \] \)"
+    assert parse(nested).clean() == "$$$ $$ `$$$ x = 1 $$$` $$ $$$"
+    assert parse("<code>&#xF1000;0&#xF1001;</code> &#xF1000;1&#xF1001;").clean() == "`\ufffd0\ufffd` \ufffd1\ufffd"
+
+
 def test_labelled_pages_hold_every_kind():
     held = {k for page in LABELLED for block, _ in page for k in parse(block).kinds}
     assert held == set(KINDS)
