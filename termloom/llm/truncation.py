@@ -42,8 +42,8 @@ _LIST = re.compile(r"^\s*(?:[-*+•‣]|\d{1,4}[.)])\s+\S")
 _ADDRESS = re.compile(r"(?:https?|ftp)://\S*$|^\s*(?:[^\W\d]+\W+){1,4}(?:[\w.-]+/)+[\w.-]*$|\S+@\S*$|^\s*www\.\S+$")
 _SIGNATURE = re.compile(r"^\s*(?:--+|—|–)\s*\S")
 _TAGS = re.compile(r"^\s*[^\W\d_]+\s*:\s*[^\W_][\w -]*(?:,\s*[\w -]*)+$|^\s*(?:#\w+\s*)+$")
-_ASIDE = re.compile(r"\s*[(\[][^()\[\]\n]{1,80}[)\]]$")
-_SMILEY = re.compile(r"\s+[:;8=][-']?[)(DPp|/\\oO3*]+$")
+_EYES = re.compile(r"\s[:;8=][-']?$")
+_MOUTHS = ")(DPp|/\\oO3*"
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -85,12 +85,27 @@ def ending(text: str) -> tuple[str, str, str]:
         return "sentence", "", ""
     if closed_markup:
         return "symbol", "", ""
-    if m := (_ASIDE.search(line) or _SMILEY.search(line)):
-        before = line[: m.start()].rstrip()
+    if (at := _aside(line)) >= 0 or (at := _smiley(line)) >= 0:
+        before = line[:at].rstrip()
         return ("bracket" if not before or _finished(before) else "open"), "", ""
     return "open", "", ""
 
 
+def _aside(s: str) -> int:
+    """Where an aside in brackets of any length that ends s begins, else -1."""
+    if s[-1:] not in (")", "]"):
+        return -1
+    at = max(s.rfind(c, 0, -1) for c in "()[]\n")
+    return at if at >= 0 and s[at] in "([" and at < len(s) - 2 else -1
+
+
+def _smiley(s: str) -> int:
+    """Where a smiley that ends s begins, else -1."""
+    head = s.rstrip(_MOUTHS)
+    m = _EYES.search(head[-3:]) if len(head) < len(s) else None
+    return len(head) - len(head[-3:]) + m.start() if m else -1
+
+
 def _finished(s: str) -> bool:
     """Whether s ends a sentence: a stop, perhaps closing marks, asides or symbols after it."""
     for _ in range(6):
@@ -102,8 +117,8 @@ def _finished(s: str) -> bool:
         if s and s[-1] in _STOP:
             return True
         s = before
-        if m := (_SMILEY.search(s[-90:]) or _ASIDE.search(s[-90:])):
-            s = s[: len(s) - len(s[-90:]) + m.start()]
+        if (at := max(_smiley(s), _aside(s))) >= 0:
+            s = s[:at]
         else:
             return False
     return False

@@ -88,3 +88,11 @@ def test_edges(spark):
     got = sorted(((r["doc_id"], r["is_cut"]) for r in truncation(spark.createDataFrame([(*r, "x", 3) for r in rows], SCHEMA)).collect()), key=repr)
     assert got == sorted([(4, False), (4, False), (5, True), (None, True)], key=repr)
     assert truncation(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 60, 100, 5000])
+def test_asides_of_any_length(n):
+    aside = "(" + "as it was said " * n + "then)"
+    assert ending("It is done. " + aside)[0] == "sentence" and ending(aside)[0] == "bracket"
+    assert ending("It is done and " + aside)[0] == "open" and ending("It is done. " + aside[:-1])[0] == "open"
+    assert ending("It is done. :-" + ")" * n)[0] == "sentence"
