@@ -9,15 +9,16 @@ latest slot of its record, so the work per record is about m ln m arrivals in al
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.analyze import LOWER, UPPER, tokens
-from termloom.runtime import cut
+from termloom.runtime import written
 
 #: Scripts written without spaces, each character of which is a word; the marks and the space used with them, which are none; blanks.
 UNSPACED = "".join(
@@ -25,6 +26,8 @@ UNSPACED = "".join(
 ) + r"\x{30FC}\x{FF70}"
 _CJK_MARKS = r"\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{303D}\x{30FB}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
 _WORD = rf"[{UNSPACED}]\p{{M}}*|[A-Za-z0-9\x{{80}}-\x{{10FFFF}}&&[^{UNSPACED}{_CJK_MARKS}]]+"
+#: All of these scripts and marks lie here; a text without any such character is split as the project's tokens are, by a plainer pattern.
+_FAR = r"[\x{0E00}-\x{10FFFF}]"
 _NOT_BLANK = r"[^\s\x{85}\p{Z}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,7 +80,8 @@ def folded_tokens(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """The tokens of a text in ASCII lower case, scripts without spaces split into characters; none for null and blank texts."""
-    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_WORD), F.lit(0))
+    fine = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_WORD), F.lit(0))
+    words = F.when(text.rlike(_FAR), fine).otherwise(folded_tokens(text))
     return F.when(text.rlike(_NOT_BLANK), words).otherwise(F.array().cast("array<string>"))
 
 
@@ -93,32 +97,43 @@ def word_shingles(words_col: str, words: int, short: bool = False) -> Column:
     return F.array_distinct(F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(t, i + F.lit(k)) for k in range(1, words)))))
 
 
+def bands_for(threshold: float, rows: int, missed: float = 2e-6) -> int:
+    """How many bands of `rows` slots leave a pair right at the threshold without a common band with probability `missed` at most."""
+    return math.ceil(math.log(missed) / math.log1p(-min(threshold**rows, 1 - 1e-9)))
+
+
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, class_id, n): one row per band of each class; key joins the band's number and its slots."""
+    """(key, h1, n): one row per band of each class; key joins the band's number and its slots."""
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 512):
-                b = whole.iloc[start : start + 512]
-                sizes = b["n"].to_numpy()
-                flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in b["shingles"]]).view(np.uint64)
-                sig = signatures(flat, np.repeat(np.arange(len(b)), sizes), len(b), bands * rows)
-                key = np.zeros((len(b), bands), dtype=np.uint64)
+            for start in range(0, whole.num_rows, 512):
+                h1, n, sets = whole.slice(start, 512).columns
+                sizes = n.to_numpy()
+                # Sets ascend in signed order; seen as unsigned they are the same set.
+                flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                sig = signatures(flat, np.repeat(np.arange(len(sizes)), sizes), len(sizes), bands * rows)
+                key = np.zeros((len(sizes), bands), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(rows):
-                        key = _mix(key + _GOLD + sig.reshape(len(b), bands, rows)[:, :, r])
+                        key = _mix(key + _GOLD + sig.reshape(len(sizes), bands, rows)[:, :, r])
                     key = _mix(key + np.arange(bands, dtype=np.uint64) * _GOLD)
-                yield pd.DataFrame({"key": key.view(np.int64).ravel(), "class_id": np.repeat(b["class_id"].to_numpy(), bands), "n": np.repeat(sizes, bands)})
+                columns = [key.view(np.int64).ravel(), np.repeat(h1.to_numpy(), bands), np.repeat(sizes, bands)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h1", "n"])
+
+    return classes.select("h1", "n", "shingles").mapInArrow(keyed, "key bigint, h1 bigint, n int")
 
-    return classes.select("class_id", "n", "shingles").mapInPandas(keyed, "key bigint, class_id bigint, n int")
+
+#: A class: two independent 64-bit hashes of its set. Bands carry the first only; what it confuses, verification tells apart.
+CLASS = ["h1", "h2"]
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, words: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """members (class_id, id) and classes (class_id, n, shingles): records with the same shingle set share a class.
+    """members (h1, h2, id) and classes (h1, h2, class_id, copies, n, shingles): records with the same shingle set share a class.
 
-    class_id is a 64-bit hash of the set's sorted elements and its size. Records without shingles or without an id are left out.
+    class_id is the least id of the class. Records without shingles or without an id are left out.
     every: no record is left out. Words are those of split_words, fewer than `words` are one shingle; records without words share
-    the class of the empty set, which is a class of members only.
+    the class of the empty set. Both are written in the shared folder by columns: who reads the members doesn't read the sets.
     """
     if every:
         sets = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("_words"))
@@ -127,56 +142,61 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, words: int, eve
         # The filter is on the tokens: one on the shingles would be pushed below them and take the tokenizer into the lambda.
         sets = split.where(F.size("_words") >= words)
     sets = sets.select("id", F.sort_array(word_shingles("_words", words, every)).alias("shingles"))
-    own = cut(sets.select(F.xxhash64("shingles", F.size("shingles")).alias("class_id"), "id", "shingles"))
-    classes = own.where(F.size("shingles") > 0).groupBy("class_id").agg(F.first("shingles").alias("shingles")).select("class_id", F.size("shingles").alias("n"), "shingles")
-    return own.select("class_id", "id"), cut(classes)
+    own = written(sets.select(F.xxhash64("shingles", F.size("shingles")).alias("h1"), F.xxhash64(F.lit(words), "shingles").alias("h2"), "id", "shingles"), "sets")
+    same = own.groupBy(*CLASS).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"))
+    return own.select(*CLASS, "id"), written(same.select(*CLASS, "class_id", "copies", F.size("shingles").alias("n"), "shingles"), "classes")
+
+
+def _ends(df: DataFrame, end: str, *columns: str) -> DataFrame:
+    """df with the columns h1 and h2 (and others) named for one end of a pair."""
+    return df.select(*(F.col(c).alias(f"{c}{end}") for c in (*CLASS, *columns)))
 
 
-def similar_classes(classes: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """(a, b, similarity), a < b: all class pairs whose Jaccard similarity reaches the threshold.
+def similar_classes(classes: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """(h1a, h2a, h1b, h2b, similarity), h1a < h1b: all class pairs whose Jaccard similarity reaches the threshold.
 
     Bands are joined by key, an equi-join whose hot keys AQE splits; a key is hot only if its classes agree in
     `rows` slots. Pairs whose sizes rule the threshold out are dropped in the join, every other candidate is
-    verified on the sets themselves.
+    verified on the sets themselves. All sides grow with the data, so each join is a merge join, whatever the planner's estimate of an
+    array column; no set passes through the driver.
     """
-    bucket = band_keys(classes, bands, rows)
-    a, b = bucket.alias("a"), bucket.alias("b")
+    bucket = band_keys(classes.where("n > 0"), bands_for(threshold, rows), rows)
+    a, b = bucket.alias("a"), bucket.hint("merge").alias("b")
     fits = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class_id") < F.col("b.class_id")) & fits)
-    candidates = pairs.select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
-    left = classes.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", common.alias("k"), (F.size("sa") + F.size("sb")).alias("t"))
-    return both.select("a", "b", (F.col("k") / (F.col("t") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")) & fits)
+    candidates = pairs.select(F.col("a.h1").alias("h1a"), F.col("b.h1").alias("h1b")).distinct()
+    left, right = _ends(classes, "a", "shingles"), _ends(classes, "b", "shingles")
+    common = F.size(F.array_intersect("shinglesa", "shinglesb"))
+    both = candidates.join(left.hint("merge"), "h1a").join(right.hint("merge"), "h1b")
+    measured = both.select("h1a", "h2a", "h1b", "h2b", common.alias("k"), (F.size("shinglesa") + F.size("shinglesb")).alias("t"))
+    return measured.select("h1a", "h2a", "h1b", "h2b", (F.col("k") / (F.col("t") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 96, rows: int = 4) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, rows: int = 4) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: every pair of records whose shingle sets reach the threshold.
 
-    A pair right at 0.6 is missed by all 96 bands of 4 rows with probability 2e-6, at 0.7 with 4e-12. Null, empty and
+    A pair right at the threshold is missed with probability 2e-6 (see bands_for), one above it with less. Null, empty and
     short texts (fewer tokens than `words`) are in no pair; repeated ids with one text count once; other columns are
     ignored. Copies share a class and are expanded at the end only.
     """
     members, classes = shingle_classes(docs, id_col, text_col, words)
-    links = cut(similar_classes(classes, threshold, bands, rows))
-    left = members.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    across = links.join(left, "a").join(right, "b").where(F.col("x") != F.col("y"))
-    linked = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
-    m, k = members.alias("m"), members.alias("k")
-    within = m.join(k, (F.col("m.class_id") == F.col("k.class_id")) & (F.col("m.id") < F.col("k.id")))
+    links = written(similar_classes(classes, threshold, rows), "links")
+    across = links.join(_ends(members, "a", "id").hint("merge"), ["h1a", "h2a"]).join(_ends(members, "b", "id").hint("merge"), ["h1b", "h2b"]).where("ida != idb")
+    linked = across.select(F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b"), "similarity")
+    several = members.join(classes.where("copies > 1").select(*CLASS).hint("merge"), CLASS, "left_semi")
+    m, k = several.alias("m"), several.hint("merge").alias("k")
+    within = m.join(k, (F.col("m.h1") == F.col("k.h1")) & (F.col("m.h2") == F.col("k.h2")) & (F.col("m.id") < F.col("k.id")))
     return linked.unionByName(within.select(F.col("m.id").alias("id_a"), F.col("k.id").alias("id_b"), F.lit(1.0).alias("similarity"))).distinct()
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 96, rows: int = 4, every: bool = False) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, rows: int = 4, every: bool = False) -> DataFrame:
     """(id, class_id, copies, links): one row per record with shingles, or per record (every, see shingle_classes).
 
-    copies is the number of records in its class of equal sets, links the number of other classes that reach the threshold with it.
+    class_id is the least id of those with the same set, copies their number, links the number of other classes that reach the threshold with it.
     """
     members, classes = shingle_classes(docs, id_col, text_col, words, every)
-    links = cut(similar_classes(classes, threshold, bands, rows))
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    per_class = copies.join(ends, "class_id", "left")
-    return members.join(per_class, "class_id").select("id", "class_id", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+    links = written(similar_classes(classes, threshold, rows), "links")
+    ends = links.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("e"))
+    counted = ends.groupBy("e.h1", "e.h2").agg(F.count("*").alias("links"))
+    per_class = classes.select(*CLASS, "class_id", "copies").join(counted.hint("merge"), CLASS, "left")
+    return members.join(per_class.hint("merge"), CLASS).select("id", "class_id", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))

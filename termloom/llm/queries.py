@@ -26,7 +26,7 @@ def p1_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pairs(table(spark, d, "corpus_docs"), "id", "content", words=3, threshold=0.6).select("id_a", "id_b")
+    return near_duplicate_pairs(table(spark, d, "corpus_docs"), "id", "content", words=3, threshold=0.6, rows=3).select("id_a", "id_b")
 
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions.analyze import py_lower, py_tokens
-from termloom.llm.neardup import near_duplicate_links, near_duplicate_pairs, signatures
+from termloom.llm.neardup import bands_for, near_duplicate_links, near_duplicate_pairs, shingle_classes, signatures, similar_classes, split_words
 from termloom.llm.queries import p3_links
 from termloom.runtime import table
 
@@ -90,3 +90,23 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((both[0] == both[1]).mean() - want) < 0.04
     alone = signatures(a, np.zeros(300, dtype=int), 1, 4096)
     assert (alone[0] == sig[0]).all() and (signatures(a[:0], np.zeros(0, dtype=int), 1, 8) == 0).all()
+
+
+def test_bands_keep_what_is_promised():
+    for threshold, rows in ((0.6, 3), (0.6, 4), (0.8, 4), (1.0, 4)):
+        bands = bands_for(threshold, rows)
+        assert (1 - threshold**rows) ** bands <= 2e-6 and (bands == 1 or (1 - threshold**rows) ** (bands - 1) > 2e-6)
+
+
+def test_no_side_is_broadcast(spark):
+    members, classes = shingle_classes(frame(spark, corpus(3)), "id", "content", 3)
+    plan = similar_classes(classes, 0.6, 4)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Cartesian" not in plan
+    links = near_duplicate_links(frame(spark, corpus(3)), "id", "content", 3, 0.6)._jdf.queryExecution().toString()
+    assert "Broadcast" not in links
+
+
+def test_words_of_plain_and_unspaced_texts(spark):
+    rows = [("Ab, c-D é9", ["ab", "c", "d", "é9"]), (" \u0085", []), (None, []), ("x 東京abc。ｶ", ["x", "東", "京", "abc", "ｶ"]), ("กิa", ["กิ", "a"]), ("  é", [" ", "é"])]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "text string").select(split_words(F.col("text")).alias("w"))
+    assert [r["w"] for r in df.collect()] == [w for _, w in rows]
