@@ -1,18 +1,22 @@
 """Texts cut off by field limits or in transfer.
 
-Three pieces of evidence are put together as log odds of a cut, each drawn from the whole table:
+A text is either whole or cut, which isn't seen; what is seen is drawn from the whole table:
 
-- the length: per source a log-normal length distribution is fitted by maximum likelihood with the values at candidate limits
+- its length: per source a log-normal length distribution is fitted by maximum likelihood with the values at candidate limits
   taken as right-censored; how far a limit's count exceeds what the fit expects there gives the posterior that a value of that length was censored;
-- the announced size, where it is more than the text has;
-- the ending: what kind of ending it is, and for endings in a list item, table, address, signature or tag line whether its shape and
-  last word are ones that such endings have, or only the beginning of such.
+- its announced size: whether it is more than the text has;
+- its ending: which kind of ending it is, and for endings in a list item, table, address, signature, tag line or dots whether they are whole or
+  only the beginning of what other texts end in.
+
+The censoring posterior is each text's prior of being cut. How often cut and whole texts show each ending and each announced size isn't set by hand but
+fitted to the table by expectation-maximisation: endings that abound at the limits beyond what is usual elsewhere come out as those of cut texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,69 +24,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.runtime import cut
+from termloom.runtime import written
 
-# Log odds that each kind of ending is a cut, before any other evidence.
-ENDINGS = {
-    "sentence": -14.0, "marked": 14.0, "fence": 14.0, "tag": 9.0, "open": 9.0,
-    "dots": -7.0, "code": -14.0, "list": -5.0, "row": -5.0, "address": -5.0, "signature": -5.0, "tags": -5.0, "heading": -3.0, "symbol": -7.0, "bracket": -7.0,
+#: Log odds of a cut that each ending has in a table that says nothing; see fit_evidence for their weight.
+FIRST_ODDS = {
+    "marked": 9.0, "fence": 9.0, "tag": 7.0, "open": 9.0, "left_out": -2.0,
+    "sentence": -9.0, "code": -9.0, "symbol": -6.0, "bracket": -6.0,
+    "dots": -6.0, "list": -6.0, "row": -6.0, "address": -6.0, "signature": -6.0, "tags": -6.0, "heading": -4.0,
 }
-#: Endings whose shape and last word are looked up.
-LOOKED_UP = ("list", "row", "address", "signature", "tags", "heading", "dots")
+#: Endings that are compared with those of other texts, the log odds of one that is only a beginning of them, and of dots after a word that no other sentence ends in.
+COMPARED = ("list", "row", "address", "signature", "tags", "heading", "dots")
+FIRST_PART_ODDS, FIRST_DOTS_PART_ODDS, FIRST_NEW_ODDS = 7.0, 3.0, -1.0
+#: How much oftener longer endings must be seen for one to be a beginning of them; a word before dots may be the singular of one that is usual.
+PART_TIMES, DOTS_PART_TIMES = 20, 4
 
 _STOP = ".!?。！？．؟।"
 _CLOSERS = "\"'”’»）)]】」』*_`"
-_MARK = re.compile(
-    r"\s*(?:\[\s*(?:\.{3}|…|more|mehr|continued|truncated|cut|snip|read more)\s*\]|\(\s*(?:\.{3}|…|more|cut|truncated|continued|snip)\s*\)|<\s*(?:truncated|snip)\s*>|…|�+)\s*$", re.I
-)
-_CLOSED_HTML = re.compile(r"(?:\s*(?:</[A-Za-z][A-Za-z0-9]*\s*>|<br\s*/?>|&[A-Za-z]{2,8};|&#\d{1,6};|-->))+\s*$")
-_OPEN_TAG = re.compile(r"<[/!A-Za-z][^<>\n]{0,200}$|&(?:#\d{0,6}|[A-Za-z]{1,8})$")
+_LEFT_OUT = re.compile(r"(?:…|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\))(?:\s*[(\[<][^()\[\]<>]*[)\]>])?$|\ufffd+$")
+_ELEMENT = re.compile(r"</[A-Za-z][A-Za-z0-9]*\s*>|<br\s*/?>|<!--.*-->", re.S)
+_ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,6});")
+_BEGUN_ENTITY = re.compile(r"&(?:#\d*|[A-Za-z]+)")
 _FENCE = re.compile(r"^[ \t]{0,3}(?:`{3,}|~{3,})", re.M)
-_LIST = re.compile(r"^\s*(?:[-*+•‣]|\d{1,4}[.)])\s+\S")
+_LIST = re.compile(r"\s*(?:[-*+•‣]|\d{1,4}[.)])\s+\S")
 _ADDRESS = re.compile(r"(?:https?|ftp)://\S*$|^\s*(?:[^\W\d]+\W+){1,4}(?:[\w.-]+/)+[\w.-]*$|\S+@\S*$|^\s*www\.\S+$")
-_SIGNATURE = re.compile(r"^\s*(?:--+|—|–)\s*\S")
-_TAGS = re.compile(r"^\s*[^\W\d_]+\s*:\s*[^\W_][\w -]*(?:,\s*[\w -]*)+$|^\s*(?:#\w+\s*)+$")
+_SIGNATURE = re.compile(r"\s*(?:--+|—|–)\s*\S")
+_TAGS = re.compile(r"\s*[^\W\d_]+\s*:\s*[^\W_][\w -]*(?:,[\w -]*)+$|\s*(?:#\w+\s*)+$")
 _EYES = re.compile(r"\s[:;8=][-']?$")
 _MOUTHS = ")(DPp|/\\oO3*"
+_SYMBOLS = re.compile(r"[^\W\d_]+|\d+|\s+|.")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def _is_symbol(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c) in ("So", "Sk", "Sm", "Sc", "Cf", "Mn", "Me", "Co") and c not in "<>=+|~^$`"
 
 
 def ending(text: str) -> tuple[str, str, str]:
-    """(kind, shape, last_word) of a text that isn't blank; shape and last_word are "" where they aren't looked up."""
+    """(kind, line, word) of a text that isn't blank: the last line of endings that are compared, the last word of these and of sentences, else ""."""
     end = text.rstrip()
     line = end[end.rfind("\n") + 1 :]
     if len(_FENCE.findall(end)) % 2:
         return "fence", "", ""
     if _FENCE.match(line):
         return "code", "", ""
-    bare = end
-    if m := _MARK.search(bare[-60:]):
-        bare = bare[: len(bare) - len(bare[-60:]) + m.start()].rstrip()
-        kind = "sentence" if _finished(bare) else "marked"
-        return kind, "", ""
-    if _OPEN_TAG.search(line[-220:]) and not _finished(end):
+    if m := _LEFT_OUT.search(line):
+        before = end[: len(end) - len(line) + m.start()].rstrip()
+        return ("left_out" if _finished(before) else "marked"), "", ""
+    if _open_tag(line) and not _finished(end):
         return "tag", "", ""
-    while m := _CLOSED_HTML.search(bare[-400:]):
-        bare = bare[: len(bare) - len(bare[-400:]) + m.start()].rstrip()
-        if not bare:
-            return "symbol", "", ""
+    bare = _without_closed_html(end)
+    if not bare:
+        return "symbol", "", ""
     closed_markup = len(bare) < len(end)
     structural = _structure(line)
     if structural and not closed_markup:
-        return (structural, *_looked_up(line))
+        return structural, line.strip(), _last_word(line) if line[-1:].isalnum() else ""
     if bare.endswith("..."):
         rest = bare.rstrip(".").rstrip()
         if not rest or rest[-1] in _STOP + _CLOSERS:
             return "sentence", "", ""
         return "dots", "", _last_word(rest)
     if _finished(bare):
-        return "sentence", "", ""
+        return "sentence", "", _last_word(bare)
     if closed_markup:
         return "symbol", "", ""
     if (at := _aside(line)) >= 0 or (at := _smiley(line)) >= 0:
@@ -91,6 +94,30 @@ def ending(text: str) -> tuple[str, str, str]:
     return "open", "", ""
 
 
+def _open_tag(line: str) -> bool:
+    """Whether a line ends inside a tag or an entity."""
+    at = line.rfind("<")
+    if at >= 0 and ">" not in line[at:] and re.match(r"<[/!A-Za-z]", line[at : at + 2]):
+        return True
+    at = line.rfind("&")
+    return at >= 0 and _BEGUN_ENTITY.fullmatch(line, at) is not None
+
+
+def _without_closed_html(s: str) -> str:
+    """s without the end tags, comments, line breaks and entities at its end."""
+    while True:
+        s = s.rstrip()
+        if s.endswith(">"):
+            at, pattern = s.rfind("<!--") if s.endswith("-->") else s.rfind("<"), _ELEMENT
+        elif s.endswith(";"):
+            at, pattern = s.rfind("&"), _ENTITY
+        else:
+            return s
+        if at < 0 or not pattern.fullmatch(s, at):
+            return s
+        s = s[:at]
+
+
 def _aside(s: str) -> int:
     """Where an aside in brackets of any length that ends s begins, else -1."""
     if s[-1:] not in (")", "]"):
@@ -108,26 +135,22 @@ def _smiley(s: str) -> int:
 
 def _finished(s: str) -> bool:
     """Whether s ends a sentence: a stop, perhaps closing marks, asides or symbols after it."""
-    for _ in range(6):
-        s = s.rstrip()
-        before = s
-        while s and (s[-1] in _CLOSERS or _is_symbol(s[-1])):
-            s = s[:-1]
+    while True:
         s = s.rstrip()
-        if s and s[-1] in _STOP:
+        end = len(s)
+        while end and (s[end - 1] in _CLOSERS or _is_symbol(s[end - 1]) or s[end - 1].isspace()):
+            end -= 1
+        if end and s[end - 1] in _STOP:
             return True
-        s = before
-        if (at := max(_smiley(s), _aside(s))) >= 0:
-            s = s[:at]
-        else:
+        if (at := max(_smiley(s), _aside(s))) < 0:
             return False
-    return False
+        s = s[:at]
 
 
 def _structure(line: str) -> str:
     if _LIST.match(line) and not _finished(line):
         return "list"
-    if line.lstrip().startswith("|") or line.rstrip().endswith("|"):
+    if line.lstrip().startswith("|") or line.endswith("|") and " | " in line:
         return "row"
     if _SIGNATURE.match(line) and not _finished(line):
         return "signature"
@@ -135,45 +158,72 @@ def _structure(line: str) -> str:
         return "heading"
     if _ADDRESS.search(line):
         return "address"
-    if len(line) < 200 and _TAGS.match(line):
+    if _TAGS.match(line):
         return "tags"
     return ""
 
 
-def _looked_up(line: str) -> tuple[str, str]:
-    shape = re.sub(r"[^\W\d_]+", "w", line.strip())
-    return re.sub(r"\d+", "9", shape)[-120:], _last_word(line) if line.rstrip()[-1:].isalnum() else ""
+def _last_word(s: str) -> str:
+    end = len(s)
+    while end and not _WORDS.match(s[end - 1]):
+        end -= 1
+    start = end
+    while start and _WORDS.match(s[start - 1]):
+        start -= 1
+    return s[start:end]
 
 
-def _last_word(s: str) -> str:
-    words = _WORDS.findall(s[-80:])
-    return words[-1] if words else ""
+def beginnings(symbols: Iterator[str], group: str) -> list[int]:
+    """A hash of each beginning of a sequence of symbols, the last that of the whole; other groups have other hashes. Linear in the sequence."""
+    h, out = 0xCBF29CE484222325, []
+    for part in (group, *symbols):
+        for b in part.encode("utf-8", "surrogatepass"):
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        out.append(h - (h >> 63 << 64))
+    return out[1:]
+
+
+def _shape(line: str) -> list[str]:
+    """A line with every word, number and blank as one symbol."""
+    return ["w" if x[0].isalpha() else "9" if x[0].isdigit() else " " if x.isspace() else x for x in _SYMBOLS.findall(line)]
 
 
 def endings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, n_chars, n_bytes, announced, kind, shape, last_word) of every text that isn't null or blank."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), "source", F.col("declared_bytes").alias("announced"), F.col(text_col).alias("text")).where(F.trim(F.col(text_col), F.lit(" \t\r\n\f 　")) != "")
+    """(doc_id, source, text, n_chars, n_bytes, announced, kind, shape, word, parts) of every text that isn't null or blank.
+
+    text is a hash of the text; shape and word are hashes of the last line's shape and of the last word where these are compared, else null; parts those of their proper beginnings.
+    """
+    columns = [F.col(id_col).alias("doc_id"), "source", F.col("declared_bytes").alias("announced"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")]
+    rows = docs.select(*columns).where(F.trim(F.col(text_col), F.lit(" \t\r\n\f 　")) != "")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = [(i, t) for i, t in enumerate(b["text"].tolist()) if t.strip()]
             at = [i for i, _ in kept]
-            found = [ending(t) for _, t in kept]
+            out = []
+            for _, t in kept:
+                kind, line, word = ending(t)
+                shape = beginnings(_shape(line), f"{kind} ") if line else []
+                # A finished sentence's last words serve as those of sentences with trailing dots.
+                letters = beginnings(word, "dots" if kind == "sentence" else kind) if word else []
+                out.append((kind, shape[-1] if shape else None, letters[-1] if letters else None, shape[:-1] + letters[:-1]))
             yield pd.DataFrame(
                 {
                     "doc_id": pd.Series([x for x in b["doc_id"].iloc[at].tolist()], dtype=object),
                     "source": pd.Series(b["source"].iloc[at].tolist(), dtype=object),
+                    "text": b["hash"].iloc[at].to_numpy(),
                     "n_chars": [len(t) for _, t in kept],
                     "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for _, t in kept],
                     "announced": b["announced"].iloc[at].to_numpy(dtype=float),
-                    "kind": pd.Series([f[0] for f in found], dtype=object),
-                    "shape": pd.Series([f[1] for f in found], dtype=object),
-                    "last_word": pd.Series([f[2] for f in found], dtype=object),
+                    "kind": pd.Series([x[0] for x in out], dtype=object),
+                    "shape": pd.array([x[1] for x in out], dtype="Int64"),
+                    "word": pd.array([x[2] for x in out], dtype="Int64"),
+                    "parts": pd.Series([x[3] for x in out], dtype=object),
                 }
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(read, f"doc_id {kind}, source string, n_chars bigint, n_bytes bigint, announced double, kind string, shape string, last_word string")
+    return rows.mapInPandas(read, f"doc_id {kind}, source string, text bigint, n_chars bigint, n_bytes bigint, announced double, kind string, shape bigint, word bigint, parts array<bigint>")
 
 
 # --- lengths ---------------------------------------------------------------------------------------
@@ -209,32 +259,34 @@ def fit_censored(x: np.ndarray, n: np.ndarray, limits: np.ndarray, censored: np.
     return mean, dev
 
 
-#: Bins per power of two of length; what makes a length a candidate limit: so many values, so many times what is usual in its bin.
-PER_OCTAVE, LEAST, TIMES = 8, 5, 4.0
+#: Bins per power of two of length, and the log odds against a given length being a limit before its count is seen.
+PER_OCTAVE, AGAINST_LIMIT = 8, 12.0
 
 
 def limit_posteriors(measured: DataFrame) -> DataFrame:
     """(source, unit, at, count, censored): candidate limits of each source, in chars or bytes, and the posterior that a value of just that length was censored.
 
-    The histogram combines in each task. What is usual in a bin is the geometric mean of its lengths' counts, which limits
-    hardly raise. To the fit of a source go its bins, at most 64 * PER_OCTAVE a unit, and per bin the candidates' sums; the posterior of each
-    candidate then follows from its source's fit by a join, so their number isn't limited.
+    Copies of a text in a source count once. The histogram combines in each task. How much likelier a length's count is as its own mean than as that of the other lengths of its bin (Poisson
+    likelihood ratio), against AGAINST_LIMIT, is the posterior that it is a limit; few values suffice in a small source, a large one needs more. To the fit of a source go its bins, at most
+    64 * PER_OCTAVE a unit, and per bin the candidates' sums; the posterior of each candidate then follows from its source's fit by a join, so their number isn't limited.
     """
     keys = ["source", "unit"]
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("at")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("at"))))
-    by_length = measured.select("source", units.alias("u")).groupBy("source", "u.unit", "u.at").agg(F.count("*").alias("n")).where(F.col("at") > 0)
-    lengths = cut(by_length.withColumn("bin", F.floor(F.log2("at") * PER_OCTAVE)))
+    by_length = measured.select("source", "n_chars", "n_bytes", "text").distinct().select("source", units.alias("u")).groupBy("source", "u.unit", "u.at").agg(F.count("*").alias("n")).where(F.col("at") > 0)
+    lengths = written(by_length.withColumn("bin", F.floor(F.log2("at") * PER_OCTAVE)), "lengths")
     width = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(2.0), (F.col("bin") + 1) / PER_OCTAVE)) - F.ceil(F.pow(F.lit(2.0), F.col("bin") / PER_OCTAVE)) + 1)
-    # Lengths that no value has count as one half.
-    usual = F.exp((F.sum(F.log("n")) + (F.max(width) - F.count("*")) * math.log(0.5)) / F.max(width))
-    bins = lengths.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.log("at") * F.col("n")).alias("logs"), usual.alias("usual"))
+    bins = lengths.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.log("at") * F.col("n")).alias("logs"), F.max(width).alias("width"))
     same = F.col("l.source").eqNullSafe(F.col("b.source")) & (F.col("l.unit") == F.col("b.unit")) & (F.col("l.bin") == F.col("b.bin"))
-    peaks = lengths.where(F.col("n") >= LEAST).alias("l").join(bins.alias("b"), same).where(F.col("l.n") >= TIMES * (F.col("b.usual") + 1))
-    candidates = cut(peaks.select("l.source", "l.unit", "l.bin", "l.at", F.col("l.n").alias("count"), (F.col("l.n") - F.col("b.usual")).alias("excess")))
-    taken = candidates.groupBy(*keys, "bin").agg(F.sum("excess").alias("excess"), (F.sum(F.log("at") * F.col("excess")) / F.sum("excess")).alias("limit"))
+    usual = (F.col("b.n") - F.col("l.n") + 0.5) / F.col("b.width")
+    log_ratio = F.col("count") * F.log(F.col("count") / F.col("usual")) - (F.col("count") - F.col("usual"))
+    limit = 1 / (1 + F.exp(AGAINST_LIMIT - F.col("log_ratio")))
+    peaks = lengths.where(F.col("n") > 1).alias("l").join(bins.alias("b"), same).select("l.source", "l.unit", "l.bin", "l.at", F.col("l.n").alias("count"), usual.alias("usual"))
+    peaks = peaks.where(F.col("count") > F.col("usual")).withColumn("log_ratio", log_ratio).where(F.col("log_ratio") > AGAINST_LIMIT / 2).withColumn("limit", limit)
+    candidates = written(peaks.withColumn("excess", F.col("limit") * (F.col("count") - F.col("usual"))), "limits")
+    taken = candidates.groupBy(*keys, "bin").agg(F.sum("excess").alias("excess"), (F.sum(F.log("at") * F.col("excess")) / F.sum("excess")).alias("at"))
     t = F.col("t.bin") == F.col("b.bin")
     joined = bins.alias("b").join(taken.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")) & (F.col("b.unit") == F.col("t.unit")) & t, "left")
-    to_fit = joined.select("b.source", "b.unit", "b.n", "b.logs", F.coalesce("t.excess", F.lit(0.0)).alias("excess"), F.coalesce("t.limit", F.lit(0.0)).alias("limit"))
+    to_fit = joined.select("b.source", "b.unit", "b.n", "b.logs", F.coalesce("t.excess", F.lit(0.0)).alias("excess"), F.coalesce("t.at", F.lit(0.0)).alias("limit"))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n, excess = rows["n"].to_numpy(dtype=float), rows["excess"].to_numpy(dtype=float)
@@ -248,72 +300,110 @@ def limit_posteriors(measured: DataFrame) -> DataFrame:
     c = candidates.alias("c").join(fits.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")) & (F.col("c.unit") == F.col("f.unit")))
     z = (F.log("c.at") - F.col("f.mean")) / F.col("f.dev")
     expected = F.col("f.total") * F.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * F.col("f.dev") * F.col("c.at"))
-    censored = F.greatest(F.least(1 - expected / F.col("c.count"), F.lit(1.0)), F.lit(0.0))
+    # Where other lengths nearby are more frequent than the fit has it, they count.
+    censored = F.col("c.limit") * F.greatest(F.least(1 - F.greatest(expected, F.col("c.usual")) / F.col("c.count"), F.lit(1 - 1e-4)), F.lit(0.0))
     return c.select("c.source", "c.unit", "c.at", "c.count", censored.alias("censored"))
 
 
 # --- putting it together --------------------------------------------------------------------------
 
+#: Whether the announced size is more than the text has. One that is the same isn't told from none: it may have been noted after the cut.
+ANNOUNCED = ("more", "other")
+#: Shares of texts, cut and whole, with each announced size, and the share of texts cut elsewhere than at a limit, in a table that says nothing.
+FIRST_ANNOUNCED = ((0.3, 0.7), (0.02, 0.98))
+FIRST_ELSEWHERE = 0.02
+#: What the first values weigh against the table, as shares of its rows: those of cut texts little, as limits show how these end; those of whole texts as much as
+#: the table, which shows no text that is surely whole.
+FIRST_WEIGHT_CUT, FIRST_WEIGHT_WHOLE = 0.1, 1.0
+
 
-def _logit(p: Column) -> Column:
-    q = F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001))
-    return F.log(q / (1 - q))
+def _first_odds(kind: str) -> float:
+    name, _, how = kind.partition(":")
+    return {"part": FIRST_DOTS_PART_ODDS if name == "dots" else FIRST_PART_ODDS, "new": FIRST_NEW_ODDS}.get(how, FIRST_ODDS[name])
 
 
-def _beginnings(seen: DataFrame, what: str) -> DataFrame:
-    """(kind, what, odds): log odds that an ending is only the beginning of those that other texts have.
+def fit_evidence(cells: pd.DataFrame, rounds: int = 300) -> tuple[dict[str, float], dict[str, float], float]:
+    """(log odds of a cut by kind of ending, by announced size, share of texts cut elsewhere than at a limit).
 
-    seen has (kind, what, n). Every value is spread to its proper beginnings and joined with the values seen themselves; one that is
-    frequent by itself is complete, one that is rare while longer ones are frequent is a beginning.
+    cells: kind, announced, censored (the posterior, 0 where the length is no limit), n. Expectation-maximisation over cut and whole texts, in which ending and announced
+    size are independent given which it is and the length's posterior is the prior. The first values count as shares of the rows, so that the result
+    is the same for a table and for the table ten times over.
+    """
+    kinds = sorted(set(cells["kind"]))
+    k, a = cells["kind"].map({x: i for i, x in enumerate(kinds)}).to_numpy(), cells["announced"].map({x: i for i, x in enumerate(ANNOUNCED)}).to_numpy()
+    w, n = cells["censored"].to_numpy(dtype=float), cells["n"].to_numpy(dtype=float)
+    first = np.array([1 / (1 + math.exp(-_first_odds(x))) for x in kinds])
+    of_cut, of_whole = first / first.sum(), (1 - first) / (1 - first).sum()
+    size_cut, size_whole = (np.array(x) for x in FIRST_ANNOUNCED)
+    q, p, sq, sp, elsewhere = of_cut, of_whole, size_cut, size_whole, FIRST_ELSEWHERE
+    for _ in range(rounds):
+        prior = 1 - (1 - w) * (1 - elsewhere)
+        cut, whole = prior * q[k] * sq[a], (1 - prior) * p[k] * sp[a]
+        r = cut / (cut + whole)
+        rn, wn = r * n, (1 - r) * n
+        # An ending counts as one of cut texts by what is sure of it, its number less a standard deviation.
+        seen = np.bincount(k, rn, len(kinds))
+        seen = np.maximum(seen - np.sqrt(seen), 0.0)
+        weight, other = FIRST_WEIGHT_CUT * rn.sum() + 1, FIRST_WEIGHT_WHOLE * wn.sum() + 1
+        q = (weight * of_cut + seen) / (weight + seen.sum())
+        p = (other * of_whole + np.bincount(k, wn, len(kinds))) / (other + wn.sum())
+        sq = (weight * size_cut + np.bincount(a, rn, len(ANNOUNCED))) / (weight + rn.sum())
+        sp = (other * size_whole + np.bincount(a, wn, len(ANNOUNCED))) / (other + wn.sum())
+        free = ((1 - w) * n).sum()
+        elsewhere = (FIRST_WEIGHT_CUT * free * FIRST_ELSEWHERE + ((rn * elsewhere * (1 - w)) / prior).sum()) / ((1 + FIRST_WEIGHT_CUT) * free)
+    return dict(zip(kinds, np.log(q / p).tolist(), strict=True)), dict(zip(ANNOUNCED, np.log(sq / sp).tolist(), strict=True)), float(elsewhere)
+
+
+def _compared(measured: DataFrame) -> DataFrame:
+    """Adds `how`: "part" where the ending is a beginning of what other texts of the kind end in far oftener than in itself, "new" where dots follow a word
+    that no other sentence ends in, else null.
+
+    Counts of whole endings and of beginnings combine in each task; only texts of the kinds compared take part in the joins, sentences in the counts alone.
     """
-    n_chars = F.length(what)
-    longer = (
-        seen.where(n_chars > 1)
-        .select("kind", "n", F.explode(F.transform(F.sequence(F.lit(1), n_chars - 1), lambda i: F.left(F.col(what), i))).alias(what))
-        .groupBy("kind", what)
-        .agg(F.sum("n").alias("longer"))
-    )
-    odds = F.log((0.12 * F.coalesce("longer", F.lit(0)) + 0.5) / (F.col("n") + 0.5))
-    # A value that nothing extends says little by itself; one that is common says that it is complete.
-    bounded = F.when(F.coalesce("longer", F.lit(0)) == 0, F.greatest(odds, F.lit(-3.0))).otherwise(F.least(F.greatest(odds * 3, F.lit(-4.0)), F.lit(9.0)))
-    return seen.join(longer, ["kind", what], "left").select("kind", what, bounded.alias("odds"))
+    whole = measured.select(F.explode(F.array("shape", "word")).alias("h")).where(F.col("h").isNotNull()).groupBy("h").agg(F.count("*").alias("n"))
+    longer = measured.select(F.explode("parts").alias("h")).groupBy("h").agg(F.count("*").alias("longer"))
+    times = F.coalesce(F.col("longer") / F.col("n"), F.lit(0.0))
+    told = whole.join(longer, "h", "left").where((times >= DOTS_PART_TIMES) | (F.col("n") == 1)).select("h", "n", times.alias("times"))
+    asked, rest = measured.where(F.col("kind").isin(*COMPARED)), measured.where(~F.col("kind").isin(*COMPARED))
+    for what in ("shape", "word"):
+        asked = asked.join(told.select(F.col("h").alias(what), F.col("n").alias(f"{what}_n"), F.col("times").alias(f"{what}_times")), what, "left")
+    dots = F.col("kind") == "dots"
+    part = F.greatest(*(F.coalesce(f"{what}_times", F.lit(0.0)) for what in ("shape", "word"))) >= F.when(dots, DOTS_PART_TIMES).otherwise(PART_TIMES)
+    judged = F.when(part, "part").when(dots & (F.col("word_n") == 1), "new")
+    columns = [c for c in measured.columns if c not in ("text", "shape", "word", "parts")]
+    return asked.select(*columns, judged.alias("how")).unionByName(rest.select(*columns, F.lit(None).cast("string").alias("how")))
 
 
 def truncation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, kind, length_odds, announced_odds, ending_odds, is_cut): one row per text that isn't null or blank.
 
     docs: id, text, source, declared_bytes. Null sources form a source of their own; a null announced size says nothing;
-    repeated rows are judged each; an empty table gives no rows; other columns are ignored; texts are read whole. A text is cut if the three log odds add up to more than 0.
+    repeated rows are judged each; an empty table gives no rows; other columns are ignored; texts are read whole. A text is cut if the three log odds add up to more than 0;
+    the last two are fitted by fit_evidence to counts of (kind, announced size, posterior in 40 steps), a table that doesn't grow with the data.
     """
-    measured = cut(endings(docs, id_col, text_col))
-    # NaN: the announced size was null
-    announced = F.when(F.isnan("announced"), None).otherwise(F.col("announced").cast("bigint"))
-    measured = measured.withColumn("announced", announced)
-    short = F.coalesce((F.col("announced") > F.col("n_bytes") + 2) & (F.col("announced") != F.col("n_chars")), F.lit(False))
-    kept = F.coalesce((F.abs(F.col("announced") - F.col("n_bytes")) <= 2) | (F.col("announced") == F.col("n_chars")), F.lit(False))
-    announced_odds = F.when(short, 6.0).when(kept, -3.0).otherwise(0.0)
-
-    limits = limit_posteriors(measured).where(F.col("censored") > 0.5)
-    # A byte limit may fall inside a character, which then is left out.
-    reach = F.sequence(F.col("at") - F.when(F.col("unit") == "bytes", 3).otherwise(0), F.col("at"))
-    reached = cut(limits.select("source", "unit", F.explode(reach).alias("at"), "censored").groupBy("source", "unit", "at").agg(F.max("censored").alias("censored")))
-
-    def at_limit(unit: str) -> DataFrame:
-        return reached.where(F.col("unit") == unit).select(F.col("source").alias(f"{unit}_source"), F.col("at").alias(f"{unit}_at"), F.col("censored").alias(f"{unit}_censored"))
-
-    seen = measured.where(F.col("kind").isin(*LOOKED_UP))
-    # A finished sentence's last words serve as those of sentences with trailing dots.
-    shapes = _beginnings(seen.where(F.col("shape") != "").groupBy("kind", "shape").agg(F.count("*").alias("n")), "shape").withColumnRenamed("odds", "shape_odds")
-    words = _beginnings(seen.where(F.col("last_word") != "").groupBy("kind", "last_word").agg(F.count("*").alias("n")), "last_word").withColumnRenamed("odds", "word_odds")
-    kinds = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))
-    m = measured
-    for unit, column in (("chars", "n_chars"), ("bytes", "n_bytes")):
-        m = m.join(at_limit(unit), m["source"].eqNullSafe(F.col(f"{unit}_source")) & (m[column] == F.col(f"{unit}_at")), "left")
-    posterior = F.coalesce(F.greatest("chars_censored", "bytes_censored"), F.lit(0.08))
-    m = m.join(shapes, ["kind", "shape"], "left").join(words, ["kind", "last_word"], "left")
-    looked = F.coalesce("shape_odds", F.lit(0.0)) + F.coalesce("word_odds", F.lit(0.0))
-    ending_odds = kinds[F.col("kind")] + F.when(F.col("kind").isin(*LOOKED_UP), looked).otherwise(0.0)
-    scored = m.select("doc_id", "source", "kind", "shape", "last_word", _logit(posterior).alias("length_odds"), announced_odds.alias("announced_odds"), ending_odds.alias("ending_odds"))
+    measured = written(endings(docs, id_col, text_col), "endings")
+    # An announced size may be in characters; NaN: it was null.
+    more = ~F.isnan("announced") & (F.col("announced") > F.col("n_bytes") + 2) & (F.col("announced") != F.col("n_chars"))
+    limits = limit_posteriors(measured).where(F.col("censored") > 0)
+    # A byte limit may fall inside a character, which then is left out; not in a text of one byte a character.
+    short = F.sequence(F.lit(0), F.when(F.col("unit") == "bytes", 3).otherwise(0))
+    spread = limits.select("source", "unit", "at", "censored", F.explode(short).alias("short")).select("source", "unit", (F.col("at") - F.col("short")).alias("at"), "censored", "short")
+    reached = written(spread.groupBy("source", "unit", "at").agg(F.max("censored").alias("censored"), F.max(F.when(F.col("short") == 0, F.col("censored"))).alias("exact")), "reached")
+    m = _compared(measured.withColumn("announced", F.when(F.coalesce(more, F.lit(False)), "more").otherwise("other")))
+    for unit in ("chars", "bytes"):
+        at = reached.where(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("at").alias("a"), F.col("censored").alias(unit), F.col("exact").alias(f"{unit}_exact"))
+        m = m.join(at, m["source"].eqNullSafe(F.col("s")) & (m[f"n_{unit}"] == F.col("a")), "left").drop("s", "a")
+    m = m.withColumn("bytes", F.when(F.col("n_bytes") > F.col("n_chars"), F.col("bytes")).otherwise(F.col("bytes_exact")))
+    rows = written(m.select("doc_id", "source", F.concat_ws(":", "kind", "how").alias("kind"), "announced", F.coalesce(F.greatest("chars", "bytes"), F.lit(0.0)).alias("censored")), "evidence")
+    step = F.when(F.col("censored") > 0, F.floor(2 * F.log(F.col("censored") / (1 - F.col("censored")))))
+    cells = rows.groupBy("kind", "announced", step.alias("step")).agg(F.avg("censored").alias("censored"), F.count("*").alias("n")).orderBy("kind", "announced", "step").toPandas()
+    by_kind, by_size, elsewhere = fit_evidence(cells) if len(cells) else ({"": 0.0}, {"": 0.0}, 0.0)
+    prior = 1 - (1 - F.col("censored")) * (1 - elsewhere)
+
+    def odds(table: dict[str, float], column: str) -> Column:
+        return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.col(column)]
+
+    scored = rows.select("doc_id", "source", "kind", F.log(prior / (1 - prior)).alias("length_odds"), odds(by_size, "announced").alias("announced_odds"), odds(by_kind, "kind").alias("ending_odds"))
     return scored.withColumn("is_cut", F.col("length_odds") + F.col("announced_odds") + F.col("ending_odds") > 0)
 
 
