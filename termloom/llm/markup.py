@@ -2,8 +2,8 @@
 
 A field is read as a sequence of words and tags. Recognisers for HTML, Markdown, wiki text and LaTeX turn
 constructs into text that keeps headings, lists, code and formulas, and leave a tag where the construct was. In the sequence words score
-positive and tags negative, with weights fitted on labelled pages; one linear scan finds the contiguous run of
-greatest score, the content region. A field with a tag in its sequence holds markup.
+positive and tags negative, with weights fitted on labelled pages; one linear scan finds all maximal scoring runs. The scan's sum falls at tags only: a field in which it
+falls holds markup, one in which it never does is a single run from end to end. The clean text is that of all runs, the content region the run of greatest score.
 """
 
 from __future__ import annotations
@@ -119,7 +119,6 @@ _DRIVE = _c(r"(?<![A-Za-z0-9])[A-Za-z]:(?:\\[\w.$ -]*\w)+\\?|(?<!\\)\\\\[\w.-]+(
 _L_HEAD = _c(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
 _L_ENV = _c(r"\\(begin|end)\{([A-Za-z]+\*?)\}((?:\[[^\]\n]*\]|\{[^{}\n]*\})*)")
 _L_DROP = _c(r"~?\\(cite[a-z]*|ref|eqref|pageref|autoref|label|index|vspace|hspace|bibliography|bibliographystyle|usepackage|documentclass|input|include|includegraphics)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}")
-_L_NOTE = _c(r"\\(footnote|footnotetext|thanks)(?:\[[^\]\n]*\])?\{([^{}]*)\}")
 _L_ARG = _c(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])*\{([^{}]*)\}")
 _L_ITEM = _c(r"^[ \t]*\\item\b(?:\[([^\]\n]*)\])?[ \t]*", _M)
 _L_BARE = _c(r"(?<![\w:\\/])\\([A-Za-z]{2,})\b\*?|(?<=[\s&])\\\\(?=\s|$)|(?<=\w)~?\\(?:ldots|dots|LaTeX|TeX|par|newline|hline|item)\b")
@@ -148,7 +147,7 @@ _M_NUMBER = _c(r"^([ \t]*)(\d{1,9})[.)][ \t]+(?=\S)", _M)
 _W_LIST = _c(r"^[ \t]*([*#:;]{2,}|[#:;])[ \t]+(?=\S)", _M)
 _M_QUOTE = _c(r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)", _M)
 _M_NOTE_DEF = _c(r"^[ \t]{0,3}\[\^[^\]\s]+\]:[ \t]*", _M)
-_M_REF_DEF = _c(r"^[ \t]{0,3}\[[^\]\n^]+\]:[ \t]+\S+[^\n]*$", _M)
+_M_REF_DEF = _c(r"^[ \t]{0,3}\[([^\]\n^]+)\]:(?=[ \t]+\S)", _M)
 _M_NOTE = _c(r"\[\^(?:[^\[\]\s]|\[(?!\^))+\]")
 _M_IMAGE = _c(r"!\[([^\]\n]*)\](?:\([^()\n]*\)|\[[^\]\n]*\])")
 _M_LINK = _c(r"(?<!!)\[([^\[\]\n]+)\]\([^()\s]*(?:[ \t]+[\"'(][^\n)]*)?\)")
@@ -192,12 +191,12 @@ def parse(text: str) -> Parsed:
 
     sub("\\", _L_HEAD, lambda m: tag("latex_command") + stash("#" * (1 + m.group(1).count("sub") + (m.group(1) == "section"))) + " " + m.group(2))
     sub("\\", _L_DROP, lambda m: tag("latex_command"))
-    sub("\\", _L_NOTE, lambda m: tag("latex_command"))
     in_table = bool(re.search(r"\\begin\{tabular", r.text))
     sub("\\", _L_ENV, lambda m: tag("latex_environment"))
     if in_table:
         sub("&", _c(r"[ \t]&[ \t]"), lambda m: " | ")
-    r.sub_all("\\", _L_ARG, lambda m: tag("latex_command") + m.group(2))
+    # What a note says stays, in brackets.
+    r.sub_all("\\", _L_ARG, lambda m: tag("latex_command") + (f" ({m.group(2)})" if m.group(1) in ("footnote", "footnotetext", "thanks") else m.group(2)))
     sub("\\", _L_ITEM, lambda m: tag("latex_command") + stash("-") + " " + (m.group(1) or ""))
     sub("\\", _L_BARE, lambda m: tag("latex_command"))
     sub("~", _c(r"(?<=\w)~(?=[A-Za-z\U000f0000-\U000fffff])"), lambda m: " ")
@@ -245,7 +244,7 @@ def parse(text: str) -> Parsed:
 
     sub("[", _M_TASK, lambda m: m.group(1) + tag("md_list") + stash("-") + (" [x] " if m.group(2) in "xX" else " [ ] "))
     sub("[", _M_NOTE_DEF, lambda m: tag("md_footnote"))
-    sub("[", _M_REF_DEF, lambda m: tag("md_link"))
+    sub("[", _M_REF_DEF, lambda m: tag("md_link") + m.group(1) + ":")
     sub("#", _M_ATX, lambda m: tag("md_heading") + stash(m.group(1)) + " " + m.group(2))
     sub("=-", _M_SETEXT, lambda m: tag("md_heading") + stash("#" if m.group(2)[0] == "=" else "##") + " " + m.group(1).strip())
     sub("-*_=", _M_RULE, lambda m: tag("md_rule"))
@@ -337,23 +336,52 @@ def fit_weights(pages: Iterable[Iterable[tuple[str, bool]]]) -> dict[str, float]
 WEIGHTS = fit_weights(LABELLED)
 
 
-def content_region(parsed: Parsed, weights: dict[str, float] = WEIGHTS) -> tuple[int, int, float]:
-    """(start, end, score) in `tagged`: the contiguous run of pieces with the greatest sum; (0, 0, 0.0) without words."""
-    best = (0, 0, 0.0)
-    run, start = 0.0, 0
+@dataclass(frozen=True)
+class Scan:
+    """runs: (start, end, score) of all maximal scoring runs of a field, in order; fall: by how much its tags made the sum fall."""
+
+    runs: list[tuple[int, int, float]]
+    fall: float
+
+    @property
+    def region(self) -> tuple[int, int, float]:
+        """The first run of greatest score; (0, 0, 0.0) without words."""
+        return max(self.runs, key=lambda r: r[2], default=(0, 0, 0.0))
+
+
+def scan(parsed: Parsed, weights: dict[str, float] = WEIGHTS) -> Scan:
+    """All maximal runs in one pass: runs that no longer run beats and that meet only at pieces that would lower them.
+
+    A run is kept with the sums before and after it. A piece that raises the sum opens a run, which takes in the runs back to the last one that began lower, if
+    that one ended lower as well. Each run is taken in at most once.
+    """
+    runs: list[list] = []  # start, end, sum before, sum after, the nearest earlier run that begins lower
+    total = fall = 0.0
     for m in _PIECE.finditer(parsed.tagged):
-        if run <= 0:
-            run, start = 0.0, m.start()
-        run += weights[_KIND.get(m.group(0), "word")]
-        if run > best[2]:
-            best = (start, m.end(), run)
-    return best
+        before, weight = total, weights[_KIND.get(m.group(0), "word")]
+        total += weight
+        if weight <= 0:
+            fall -= weight
+            continue
+        new = [m.start(), m.end(), before, total, -1]
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][2] >= new[2]:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= new[3]:
+                new[4] = j
+                runs.append(new)
+                break
+            new[0], new[2] = runs[j][0], runs[j][2]
+            del runs[j:]
+    return Scan([(s, e, after - before) for s, e, before, after, _ in runs], fall)
 
 
 def clean_markup(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, clean_text, region_text, score, tags, kinds): one row per record and field that isn't null.
+    """(id, field, clean_text, region_text, score, runs, fall, tags, kinds): one row per record and field that isn't null.
 
-    clean_text is the whole field as clean text, region_text its best content region (from whole lines), tags the number of constructs, kinds
+    clean_text is the text of all runs and what stands between them but tags, region_text the best content region (from whole lines) with its score, runs the number
+    of maximal runs, fall by how much the scan's sum fell: 0 where the field holds no construct. tags is the number of constructs, kinds
     their kinds in order of name. Null fields give no row, empty ones empty texts; texts are read whole; other columns are ignored.
     """
     long = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("v"))
@@ -364,12 +392,13 @@ def clean_markup(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
             out = []
             for text in b["text"]:
                 p = parse(text)
-                start, end, score = content_region(p)
+                found = scan(p)
+                start, end, score = found.region
                 start = p.tagged.rfind("\n", 0, start) + 1
                 end = p.tagged.find("\n", end) if "\n" in p.tagged[end:] else len(p.tagged)
-                out.append((p.clean(), p.clean(start, end), score, sum(p.kinds.values()), sorted(p.kinds)))
-            done = pd.DataFrame(out, columns=["clean_text", "region_text", "score", "tags", "kinds"])
+                out.append((p.clean(), p.clean(start, end), score, len(found.runs), found.fall, sum(p.kinds.values()), sorted(p.kinds)))
+            done = pd.DataFrame(out, columns=["clean_text", "region_text", "score", "runs", "fall", "tags", "kinds"])
             yield pd.concat([b[["id", "field"]].reset_index(drop=True), done], axis=1)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(read, f"id {kind}, field string, clean_text string, region_text string, score double, tags int, kinds array<string>")
+    return rows.mapInPandas(read, f"id {kind}, field string, clean_text string, region_text string, score double, runs int, fall double, tags int, kinds array<string>")

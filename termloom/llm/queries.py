@@ -35,7 +35,7 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return clean_markup(table(spark, d, "corpus_docs"), "id", ["content", "title"]).where(F.col("tags") > 0).select("id", "field")
+    return clean_markup(table(spark, d, "corpus_docs"), "id", ["content", "title"]).where(F.col("fall") > 0).select("id", "field")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from termloom.llm.markup import KINDS, LABELLED, clean_markup, content_region, fit_weights, parse
+from termloom.llm.markup import _KIND, _PIECE, KINDS, LABELLED, WEIGHTS, clean_markup, fit_weights, parse, scan
 
 MARKED = {
     "md_heading": ["# Head", "### Head ##", "Head\n====", "Some head\n---"], "md_rule": ["a\n\n---\n\nb", "* * *"], "md_list": ["- one\n- two", "3. three", "* [x] done", "+ plus"],
@@ -52,9 +54,40 @@ def test_weights_and_region():
     assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k != "word")
     page = "<div><a href='/'>Home</a> <a href='/x'>All</a></div>\n" + "A plain sentence with quite a few words in it. " * 3 + "\n<div><a href='/i'>Imprint</a></div>"
     p = parse(page)
-    start, end, score = content_region(p)
+    start, end, score = scan(p).region
     assert p.tagged[start:end].strip().startswith("A plain") and score > 0 and "Imprint" not in p.tagged[start:end]
-    assert content_region(parse("")) == (0, 0, 0.0) and content_region(parse("<br><br>")) == (0, 0, 0.0)
+    assert scan(parse("")).region == (0, 0, 0.0) and scan(parse("<br><br>")).region == (0, 0, 0.0)
+
+
+def brute_runs(weights):
+    """Maximal runs by their definition: the run of greatest score, the shortest of several, then the same left and right of it."""
+    best = max(((sum(weights[i:j]), -(j - i), -i, i, j) for i in range(len(weights)) for j in range(i + 1, len(weights) + 1)), default=None)
+    if best is None or best[0] <= 0:
+        return []
+    i, j = best[3:]
+    return brute_runs(weights[:i]) + [(i, j)] + [(i + j_, j + j_) for i, j, j_ in ((a, b, j) for a, b in brute_runs(weights[j:]))]
+
+
+def test_all_maximal_runs():
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice(["word ", "word ", "<b>", "*em* ", "<br>", "[a](b) "]) for _ in range(rnd.randint(0, 14)))
+        p = parse(text)
+        pieces = list(_PIECE.finditer(p.tagged))
+        weights = [WEIGHTS[_KIND.get(m.group(0), "word")] for m in pieces]
+        want = [(pieces[i].start(), pieces[j - 1].end()) for i, j in brute_runs(weights)]
+        found = scan(p)
+        assert [r[:2] for r in found.runs] == want, text
+        assert (found.fall > 0) == (sum(p.kinds.values()) > 0)
+        if not found.fall:
+            assert len(found.runs) == min(1, len(pieces))
+    assert len(scan(parse("word <b> " * 50_000)).runs) > 0  # linear
+
+
+def test_notes_and_definitions_stay():
+    assert parse("A claim\\footnote{key fact} holds.").clean() == "A claim (key fact) holds."
+    assert parse("A claim\\footnote{see \\emph{key} fact}.").clean() == "A claim (see key fact)."
+    assert parse("See [a][b].\n\n[b]: http://x.org/a Title").clean() == "See a.\n\nb: http://x.org/a Title"
 
 
 def test_no_construct_is_too_long_or_too_deep():
