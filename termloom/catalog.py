@@ -12,11 +12,12 @@ from termloom.functions.analyze import LOWER, STOP_WORDS, UPPER, explode_terms,
 from termloom.functions.ids import path_id
 from termloom.functions.score import idf_bm25, idf_tfidf
 from termloom.functions.snippet import snippet_column
-from termloom.operators.index import Index, apply_changes, build_index, delete, index_diff, size_estimate
+from termloom.operators.index import Delta, Index, build_index, delta_of, index_diff, size_estimate
 from termloom.plans.compile import matches, matches_by_sets, phrase_starts, scored, search_many, top_k
 from termloom.plans.query import Phrase, parse_query
-from termloom.runtime import cut, table
+from termloom.runtime import scratch_path, table
 from termloom.sources.tables import corpus_from_table
+from termloom.store import load_index, save_index, update_index
 
 DIGITS = 6
 _INDEXES: dict[tuple[str, str], Index] = {}
@@ -27,16 +28,12 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, d: str) -> Index:
-    """The index of a data folder, built once per session as an engine would, then shared by the search queries."""
+    """The snapshot of a data folder's index, written once per session as an engine would, then read by the search queries."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        fresh = build_index(corpus(spark, d))
-        postings = cut(fresh.postings)
-        terms = cut(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")))
-        docs = cut(fresh.docs)
-        n, total = F.count("*"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint")
-        stats = docs.agg(n.alias("n_docs"), total.alias("total_tokens"), F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("avgdl"))
-        _INDEXES[key] = Index(docs, postings, terms, cut(stats))
+        path = scratch_path(spark, "index")
+        save_index(build_index(corpus(spark, d)), path)
+        _INDEXES[key] = load_index(spark, path)
     return _INDEXES[key]
 
 
@@ -145,7 +142,7 @@ def _register_index() -> None:
     _register("top_terms_by_df", lambda s, d: built(s, d).terms.orderBy(F.desc("df"), "term").limit(20), _BASE + "SELECT term, df, cf FROM terms ORDER BY df DESC, term LIMIT 20")
     _register(
         "engine_stats",
-        lambda s, d: size_estimate(built(s, d)).withColumn("average_document_length", F.round("average_document_length", DIGITS)),
+        lambda s, d: size_estimate(prepared(s, d)).withColumn("average_document_length", F.round("average_document_length", DIGITS)),
         _BASE
         + f""", p AS (SELECT term, sum(8 + 4 * len(positions)) AS b FROM postings GROUP BY term),
 meta AS (SELECT doc_id, coalesce(regexp_replace(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1], '^#+ ', ''), doc_id::VARCHAR) AS title FROM documents WHERE doc_id IS NOT NULL)
@@ -174,15 +171,25 @@ diff AS (SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN new.doc_id
     _register("incremental_diff", diff, f"WITH {states} SELECT doc_id, change FROM diff")
 
     def upserted(s: SparkSession, d: str) -> DataFrame:
+        """A snapshot of the former files, updated on disk to the present ones, and read back."""
         now = corpus_from_table(table(s, d, "corpus_docs"), "id", "content", "path", "modified_time")
-        former = build_index(corpus_from_table(table(s, d, "doc_meta"), "id", "title", "path", "modified_time"))
-        return apply_changes(former, index_diff(now, former.docs), now).terms
+        path = scratch_path(s, "former")
+        save_index(build_index(corpus_from_table(table(s, d, "doc_meta"), "id", "title", "path", "modified_time")), path)
+        update_index(s, path, delta_of(index_diff(now, load_index(s, path).docs), now), STOP_WORDS)
+        return load_index(s, path).terms
 
     text = "SELECT doc_id, CASE WHEN change = 'unchanged' THEN (SELECT max(title) FROM doc_meta m WHERE m.id = diff.doc_id) ELSE (SELECT max(content) FROM corpus_docs c WHERE c.id = diff.doc_id) END AS text FROM diff WHERE change <> 'deleted'"
     _register("upsert_delete", upserted, _BASE.replace("WITH kept", f"WITH {states}, live AS ({text}), kept").replace("FROM documents", "FROM live") + "SELECT term, df, cf FROM terms")
+    def without_source(s: SparkSession, d: str) -> Index:
+        path = scratch_path(s, "without")
+        save_index(prepared(s, d), path)
+        gone = table(s, d, "documents").where((F.col("source") == "common_handbook") & F.col("doc_id").isNotNull()).select("doc_id")
+        update_index(s, path, Delta(corpus(s, d).where(F.lit(False)), gone), STOP_WORDS)
+        return load_index(s, path)
+
     _register(
         "delete_source",
-        lambda s, d: delete(built(s, d), table(s, d, "documents").where(F.col("source") == "common_handbook").select("doc_id")).stats.withColumn("avgdl", F.round("avgdl", DIGITS)),
+        lambda s, d: without_source(s, d).stats.withColumn("avgdl", F.round("avgdl", DIGITS)),
         _BASE.replace("FROM documents WHERE", "FROM documents WHERE source IS DISTINCT FROM 'common_handbook' AND") + f"SELECT n_docs, total_tokens, round(avgdl, {DIGITS}) AS avgdl FROM stats",
     )
 
@@ -269,8 +276,8 @@ def _register_search() -> None:
             rows = one if rows is None else rows.unionByName(one)
         return rows
 
-    def ranked(s: SparkSession, d: str) -> DataFrame:
-        return search_many(prepared(s, d), {q: parse_query(q) for q in JUDGED}, 10, digits=DIGITS)
+    def ranked(s: SparkSession, d: str, ranker: str = "bm25") -> DataFrame:
+        return search_many(prepared(s, d), {q: parse_query(q) for q in JUDGED}, 10, ranker, digits=DIGITS)
 
     runs = {
         "index": (["index"], _ids("index")),
@@ -278,14 +285,16 @@ def _register_search() -> None:
         '"query sends"': ([("query", "send")], f"SELECT DISTINCT doc_id FROM ({_phrase_sql('query', 'send')})"),
         "cursor lock": (["cursor", "lock"], f"{_ids('cursor')} INTERSECT {_ids('lock')}"),
     }
-    ranked_sql = " UNION ALL ".join(f"SELECT '{q}' AS query, rank, doc_id, score FROM ({_ranked_sql(parts, where, 10)})" for q, (parts, where) in runs.items())
-    _register("search_many", ranked, ranked_sql)
+    def ranked_sql(ranker: str = "bm25") -> str:
+        return " UNION ALL ".join(f"SELECT '{q}' AS query, rank, doc_id, score FROM ({_ranked_sql(parts, where, 10, ranker)})" for q, (parts, where) in runs.items())
+
+    _register("search_many", ranked, ranked_sql())
     judged_sql = " UNION ALL ".join(
         f"SELECT '{q}' AS query, doc_id FROM postings WHERE term IN ({', '.join(repr(t) for t in need)}) GROUP BY doc_id HAVING count(*) = {len(need)}" for q, need in JUDGED.items()
     )
     metrics = (
         _BASE
-        + f""", ranked AS ({ranked_sql}), judged AS ({judged_sql}), names AS (SELECT unnest([{', '.join(repr(q) for q in JUDGED)}]) AS query),
+        + f""", ranked AS ({ranked_sql()}), judged AS ({judged_sql}), names AS (SELECT unnest([{', '.join(repr(q) for q in JUDGED)}]) AS query),
 sizes AS (SELECT query, count(*) AS n FROM judged GROUP BY query),
 hits AS (SELECT r.query, rank FROM ranked r JOIN judged j ON r.query = j.query AND r.doc_id = j.doc_id),
 per_query AS (SELECT names.query, coalesce((SELECT count(*) FROM hits h WHERE h.query = names.query AND rank <= 5), 0) / 5 AS precision_at_5,
@@ -307,6 +316,11 @@ per_query AS (SELECT names.query, coalesce((SELECT count(*) FROM hits h WHERE h.
         lambda s, d: rounded(summary(ranked(s, d), judged(s, d)), "precision_at_5", "recall_at_10", "mrr"),
         metrics + f"SELECT count(*) AS queries, round(avg(precision_at_5), {DIGITS}) AS precision_at_5, round(avg(recall_at_10), {DIGITS}) AS recall_at_10, round(avg(reciprocal_rank), {DIGITS}) AS mrr FROM per_query",
     )
+    _register(
+        "eval_metrics_tfidf",
+        lambda s, d: rounded(summary(ranked(s, d, "tfidf"), judged(s, d)), "precision_at_5", "recall_at_10", "mrr"),
+        SQL["eval_metrics"].replace(ranked_sql(), ranked_sql("tfidf")),
+    )
     _register("snippets", _snippets)
 
 

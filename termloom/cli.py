@@ -8,8 +8,9 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from termloom.config import load_config
+from termloom.config import load_config, stop_words_of
 from termloom.engine import Engine
+from termloom.functions.analyze import STOP_WORDS
 from termloom.plans.query import QueryParseError
 
 
@@ -37,7 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = load_config(args.config)
     if args.index_path:
         config = replace(config, index_path=args.index_path)
-    engine = Engine(spark or SparkSession.builder.appName("termloom").getOrCreate(), config)
+    engine = Engine(spark or SparkSession.builder.appName("termloom").getOrCreate(), config, stop_words_of(config, STOP_WORDS))
     loaded = engine.load_if_present()
     if args.command == "index":
         try:

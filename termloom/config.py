@@ -46,3 +46,12 @@ def load_config(path: str) -> Config:
             name, kind = _KEYS[key.strip()]
             found[name] = kind(value.strip())
     return replace(Config(), **found)
+
+
+def stop_words_of(config: Config, default: tuple[str, ...]) -> tuple[str, ...]:
+    """The words of the file at stop_words_path, one or more a line; the default where the path is empty or can't be read."""
+    try:
+        with open(config.stop_words_path, encoding="utf-8") as f:
+            return tuple(f.read().split())
+    except OSError:
+        return default

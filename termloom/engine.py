@@ -14,19 +14,19 @@ from termloom.cache import ResponseCache
 from termloom.config import Config
 from termloom.functions.analyze import STOP_WORDS
 from termloom.functions.snippet import snippet_column
-from termloom.operators.index import Index, apply_changes, build_index, index_diff, size_estimate, with_statistics
+from termloom.operators.index import Delta, Index, build_index, delta_of, index_diff, size_estimate, with_statistics
 from termloom.plans.compile import ranker_name, scored, search_many, top_k
 from termloom.plans.query import parse_query
 from termloom.runtime import cut
 from termloom.sources.directory import as_corpus, scan_directory
 from termloom.sources.tables import corpus_from_table
-from termloom.store import IndexLoadError, current_version, load_index, save_index
+from termloom.store import IndexLoadError, current_version, load_index, save_index, update_index
 
 #: Unreadable files that a report shows by itself; error_rows has them all.
 SHOWN_ERRORS = 1000
 
 _EMPTY_DOCS = "doc_id {id}, path string, title string, token_count int, modified_time bigint, content string"
-_EMPTY_POSTINGS = "term string, doc_id {id}, tf int, positions array<int>"
+_EMPTY_POSTINGS = "term string, doc_id {id}, tf int, positions array<int>, length int"
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,8 @@ class Engine:
             corpus = as_corpus(scan_directory(self.spark, root).join(diff.where(F.col("change").isin("added", "updated")), "doc_id", "left_semi"))
             bad = self._errors(corpus)
             failed = {r["change"]: r["count"] for r in diff.join(bad, "doc_id", "left_semi").groupBy("change").count().collect()}
-            self._switch(apply_changes(self.index, diff.join(bad.select("doc_id"), "doc_id", "left_anti"), corpus.where(F.col("error").isNull()), self.stop_words))
+            if counts.keys() - {"unchanged"}:
+                self.update(delta_of(diff.join(bad.select("doc_id"), "doc_id", "left_anti"), corpus.where(F.col("error").isNull())))
         finally:
             diff.unpersist()
         n = {k: counts.get(k, 0) - failed.get(k, 0) for k in ("added", "updated", "deleted", "unchanged")}
@@ -137,6 +138,13 @@ class Engine:
     def _excerpt(bad: DataFrame) -> tuple[tuple[str, str], ...]:
         return tuple((r["path"], r["error"]) for r in bad.orderBy("path").limit(SHOWN_ERRORS).collect())
 
+    def update(self, change: Delta) -> None:
+        """Applies a change to the snapshot at config.index_path, writing what changes only."""
+        if self.version == "empty":
+            save_index(self.index, self.config.index_path)
+        update_index(self.spark, self.config.index_path, change, self.stop_words)
+        self.load()
+
     def _switch(self, index: Index) -> None:
         save_index(index, self.config.index_path)
         self.load()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.runtime import written
+
 
 def per_query(ranked: DataFrame, judged: DataFrame) -> DataFrame:
     """(query, precision_at_5, recall_at_10, reciprocal_rank), one row per judged query.
@@ -36,5 +38,16 @@ def summary(ranked: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
-    """One row: the value at position trunc(p * (n - 1)) of the sorted column."""
-    return values.agg(F.sort_array(F.collect_list(column)).alias("v")).select(F.get("v", F.floor(F.lit(p) * (F.size("v") - 1)).cast("int")).alias("value"))
+    """One row: the value at position trunc(p * (n - 1)) of the sorted column, nulls left out; null for no values.
+
+    Values are ranged over partitions; only the one partition that holds the position is sorted, no column is gathered.
+    """
+    known = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    ranged = written(known.repartitionByRange("value").select("value", F.spark_partition_id().alias("part")), "ranged")
+    sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # a row per partition
+    at = int(p * (sum(n for _, n in sizes) - 1)) if sizes else 0
+    for part, n in sizes:
+        if at < n:
+            return ranged.where(F.col("part") == part).select("value").orderBy("value").offset(at).limit(1)
+        at -= n
+    return ranged.agg(F.max("value").alias("value"))

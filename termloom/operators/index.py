@@ -14,7 +14,7 @@ from termloom.functions.analyze import STOP_WORDS, kept_tokens, py_lower, py_ste
 
 @dataclass(frozen=True)
 class Index:
-    """docs(doc_id, path, title, token_count, modified_time, content), postings(term, doc_id, tf, positions),
+    """docs(doc_id, path, title, token_count, modified_time, content), postings(term, doc_id, tf, positions, length),
     terms(term, df, cf), stats(n_docs, total_tokens, avgdl)."""
 
     docs: DataFrame
@@ -24,7 +24,7 @@ class Index:
 
 
 def document_postings(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """(term, doc_id, tf, positions): one row per term and document, positions ascending.
+    """(term, doc_id, tf, positions, length): one row per term and document, positions ascending; length is the document's, so that ranking needs no join.
 
     All tokens of a document are in one row, so its postings are formed right there, in Arrow batches and without a shuffle. `postings_by_shuffle`
     gives the same with built-in functions only, at the price of moving every token's group.
@@ -36,7 +36,7 @@ def document_postings(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS)
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                terms, rows, positions = [], [], []
+                terms, rows, positions, lengths = [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     at: dict[str, list[int]] = {}
                     n = 0
@@ -52,19 +52,22 @@ def document_postings(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS)
                     terms += at
                     rows += [i] * len(at)
                     positions += at.values()
+                    lengths += [n] * len(at)
                 tf = pa.array([len(p) for p in positions], pa.int32())
-                columns = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(positions, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "tf", "positions"])
+                columns = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(rows, pa.int32())), tf, pa.array(positions, pa.list_(pa.int32())), pa.array(lengths, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "tf", "positions", "length"])
 
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    return corpus.select("doc_id", "content").mapInArrow(analyzed, f"term string, doc_id {kind}, tf int, positions array<int>")
+    return corpus.select("doc_id", "content").mapInArrow(analyzed, f"term string, doc_id {kind}, tf int, positions array<int>, length int")
 
 
 def postings_by_shuffle(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """The same as document_postings, inside the JVM: explode, stem, group."""
-    kept = corpus.select("doc_id", F.posexplode(kept_tokens(F.col("content"), stop_words)).alias("pos", "word"))
-    stemmed = kept.select("doc_id", "pos", stem(F.col("word")).alias("term"))
-    return stemmed.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    words = corpus.select("doc_id", kept_tokens(F.col("content"), stop_words).alias("words"))
+    kept = words.select("doc_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word"))
+    stemmed = kept.select("doc_id", "length", "pos", stem(F.col("word")).alias("term"))
+    counted = stemmed.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+    return counted.select("term", "doc_id", "tf", "positions", "length")
 
 
 def document_metadata(corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
@@ -109,10 +112,24 @@ def index_diff(scan: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("doc_id", change.alias("change"))
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What changes an index: `fresh` (a corpus) comes in, the documents whose ids are in `gone` leave, also those that come in anew."""
+
+    fresh: DataFrame
+    gone: DataFrame
+
+
+def delta_of(diff: DataFrame, corpus: DataFrame) -> Delta:
+    """The change that a diff asks for: only added and updated documents come in, changed and deleted ones leave."""
+    fresh = corpus.join(diff.where(F.col("change").isin("added", "updated")).select("doc_id"), "doc_id", "left_semi")
+    return Delta(fresh, diff.where(F.col("change").isin("updated", "deleted")).select("doc_id"))
+
+
 def apply_changes(index: Index, diff: DataFrame, corpus: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> Index:
     """The index after a diff: changed and deleted documents leave by an anti-join, only added and updated ones are analyzed."""
-    gone = diff.where(F.col("change").isin("updated", "deleted")).select("doc_id")
-    fresh = corpus.join(diff.where(F.col("change").isin("added", "updated")).select("doc_id"), "doc_id", "left_semi")
+    change = delta_of(diff, corpus)
+    fresh, gone = change.fresh, change.gone
     docs = index.docs.join(gone, "doc_id", "left_anti").unionByName(document_metadata(fresh, stop_words))
     postings = index.postings.join(gone, "doc_id", "left_anti").unionByName(document_postings(fresh, stop_words))
     return with_statistics(docs, postings)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast explicitly; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -75,6 +76,11 @@ def _remove(file_system, path) -> None:
         return
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df as a broadcast side if its known number of rows is small, as a shuffled one beyond that."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

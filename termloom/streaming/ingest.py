@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.engine import Engine
-from termloom.operators.index import upsert
+from termloom.operators.index import Delta
 from termloom.sources.tables import corpus_from_table
 
 
@@ -35,7 +35,7 @@ def upsert_stream(
         if batch.isEmpty():
             return
         corpus = corpus_from_table(newest(batch, id_col, modified_col), id_col, text_col, modified_col=modified_col)
-        engine._switch(upsert(engine.index, corpus, engine.stop_words))
+        engine.update(Delta(corpus, corpus.select("doc_id")))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import threading
 import urllib.request
 from dataclasses import replace
@@ -15,12 +16,14 @@ from termloom.engine import Engine
 from termloom.evaluate import per_query, percentile, summary
 from termloom.functions.ids import fnv1a64
 from termloom.http import make_server, respond
-from termloom.operators.index import build_index
+from termloom.functions.analyze import STOP_WORDS
+from termloom.operators.index import Delta, build_index
 from termloom.plans.query import QueryParseError
 from termloom.sources.directory import _read_local, scan_directory
 from termloom.sources.evalset import read_evaluation
 from termloom.sources.synthetic import synthetic_corpus
-from termloom.store import IndexLoadError, current_version, load_index, save_index
+from termloom.sources.tables import corpus_from_table
+from termloom.store import IndexLoadError, current_version, load_index, save_index, update_index
 from termloom.streaming.ingest import upsert_stream
 
 
@@ -135,6 +138,42 @@ def test_store(spark, tmp_path):
         load_index(spark, path).terms.count()
 
 
+def _bytes(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+
+
+def test_an_update_writes_what_changes(spark, tmp_path):
+    path, words = str(tmp_path / "ix"), [f"w{i}" for i in range(500)]
+    rnd = random.Random(1)
+    rows = {f"d{i}": " ".join(rnd.choices(words, k=80)) for i in range(400)}
+    frame = lambda r: corpus_from_table(spark.createDataFrame(sorted(r.items()), "id string, text string"), "id", "text")
+    whole = _bytes(save_index(build_index(frame(rows)), path))
+
+    def change(fresh, gone):
+        ids = spark.createDataFrame([(g,) for g in gone], "doc_id string")
+        return update_index(spark, path, Delta(frame(fresh), ids), STOP_WORDS)
+
+    def same():
+        got, want = load_index(spark, path), build_index(frame(rows))
+        for part in ("postings", "terms"):
+            a, b = getattr(got, part), getattr(want, part)
+            assert a.select(*b.columns).exceptAll(b).isEmpty() and b.exceptAll(a.select(*b.columns)).isEmpty(), part
+        assert tuple(got.stats.first()) == tuple(want.stats.first())
+        assert sorted(r["doc_id"] for r in got.docs.collect()) == sorted(rows)
+
+    for fresh, gone in (({"d7": "w1 w2 fresh"}, []), ({"x": "new w3"}, ["d8", "none"]), ({"d7": "w1 again"}, ["x"]), ({"x": "back w9"}, [])):
+        written = _bytes(change(fresh, gone))
+        rows = {k: v for k, v in rows.items() if k not in gone} | fresh
+        assert written < whole / 3
+        same()
+    names = [s["name"] for s in json.loads(Path(path, current_version(spark, path), "_META.json").read_text())["segments"]]
+    assert len(names) < 4 and set(names) <= set(os.listdir(path))
+    change({}, [f"d{i}" for i in range(100, 300)])
+    rows = {k: v for k, v in rows.items() if not (k[0] == "d" and 100 <= int(k[1:]) < 300)}
+    same()
+    assert len(json.loads(Path(path, current_version(spark, path), "_META.json").read_text())["segments"]) == 1
+
+
 def test_cache():
     c = ResponseCache(2)
     c.put("a", 1), c.put("b", 2)
