@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termloom.operators.incremental import replay_changes
+from termloom.operators.incremental import ChangeFeed
 from termloom.operators.references import orphan_references, orphan_report
-from termloom.runtime import table
+from termloom.runtime import scratch_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return replay_changes(table(spark, d, "scanned_files"), table(spark, d, "scan_runs"), table(spark, d, "doc_meta")).select("run_no", "path")
+    """A feed that begins with doc_meta, asked once the log is complete."""
+    feed = ChangeFeed(spark, scratch_path(spark, "feed"))
+    feed.start(table(spark, d, "doc_meta"))
+    changes = feed.fetch(table(spark, d, "scanned_files"), table(spark, d, "scan_runs")).select("run_no", "path")
+    feed.ack()
+    return changes
+
+
+def p2_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The same while the log grows: a feed asked at four times, when some runs are over and the next is under way, with half of its files listed and no verdict yet."""
+    listings, runs = table(spark, d, "scanned_files"), table(spark, d, "scan_runs")
+    feed = ChangeFeed(spark, scratch_path(spark, "feed"))
+    feed.start(table(spark, d, "doc_meta"))
+    given = []
+    for over in (3, 6, 9, None):
+        rows, log = listings, runs
+        if over is not None:
+            half = (F.col("run_no") == over + 1) & (F.pmod(F.xxhash64("path"), F.lit(2)) == 0)
+            rows = listings.where((F.col("run_no") <= over) | half)
+            log = runs.where(F.col("run_no") <= over + 1).withColumn("status", F.when(F.col("run_no") <= over, F.col("status")))
+        given.append(feed.fetch(rows, log).select("run_no", "path"))
+        feed.ack()
+    return reduce(DataFrame.unionByName, given)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +46,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(p7_found(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p2_found": p2_found, "p2_feed": p2_feed, "p7_found": p7_found, "p7_report": p7_report}
 
 _P7 = """
 WITH e AS (SELECT DISTINCT eval_id, labeled_at, unnest(relevant) AS ref FROM evaluation),
@@ -39,7 +64,7 @@ o AS (SELECT eval_id, ref, labeled_at,
 SELECT DISTINCT eval_id, ref, kind, strftime(labeled_at, '%Y-%m') AS period FROM o WHERE kind IS NOT NULL
 """
 
-SQL = {
+_P2 = {
     # The prior version by window functions over islands of turns, not by the operator's anti-join.
     "p2_found": """
 WITH t AS (SELECT run_no, row_number() OVER (ORDER BY run_no) AS turn FROM (SELECT DISTINCT run_no FROM scan_runs WHERE status = 'ok')),
@@ -54,6 +79,10 @@ p AS (SELECT *, last_value(modified_time IGNORE NULLS) OVER (
         PARTITION BY path, island ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM i)
 SELECT run_no, path FROM p WHERE turn > 0 AND modified_time IS NOT NULL AND (prior IS NULL OR prior <> modified_time)
 """,
+}
+SQL = {
+    **_P2,
+    "p2_feed": _P2["p2_found"],
     "p7_found": _P7,
     "p7_report": f"SELECT kind, period, count(*) AS n FROM ({_P7}) GROUP BY kind, period",
 }

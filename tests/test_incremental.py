@@ -135,3 +135,28 @@ def test_feed_takes_rows_of_any_closed_run(spark, tmp_path):
     log[1] = (2, "ok")  # a verdict that is changed late
     assert process() == {(2, "a", 2), (2, "c", 1), (3, "b", 7)}
     assert process() == set()
+
+
+def test_changes_come_again_until_they_are_acknowledged(spark, tmp_path):
+    listings = spark.createDataFrame([(1, "a", 2, 1), (1, "b", 1, 1)], "run_no int, path string, modified_time bigint, listed_at bigint")
+    runs = spark.createDataFrame([(1, "ok")], "run_no int, status string")
+    ChangeFeed(spark, str(tmp_path / "f")).start(spark.createDataFrame([("a", 1)], "path string, modified_time bigint"))
+    for _ in range(2):
+        feed = ChangeFeed(spark, str(tmp_path / "f"))  # the caller before died
+        assert {tuple(r) for r in feed.fetch(listings, runs).collect()} == {(1, "a", 2), (1, "b", 1)}
+    feed.ack()
+    assert feed.fetch(listings, runs).count() == 0
+    feed.ack(), feed.ack()
+    assert ChangeFeed(spark, str(tmp_path / "f")).process(listings, runs).count() == 0
+
+
+def test_states_in_parts_add_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ChangeFeed, "MERGE_AT", 3)
+    listed, runs, meta = random_log(11, runs=9, rows=240)
+    a, b, c = tables(spark, listed, runs, meta)
+    feed, given = ChangeFeed(spark, str(tmp_path / "f"), grace_runs=0), set()
+    feed.start(c)
+    for upto in range(1, 10):
+        given |= {tuple(r) for r in feed.process(a.where(f"run_no <= {upto}"), b.where(f"run_no <= {upto}").fillna("failed", ["status"])).collect()}
+    assert given == brute(listed, runs, meta)[0] and 1 <= len(feed._pointer()["base"]) <= 3
+    assert {tuple(r) for r in feed._base(feed._pointer()["base"]).collect() if r[0]} == set(brute(listed, runs, meta)[1].items())
