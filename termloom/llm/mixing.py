@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from termloom.llm.bpe import TOKENIZERS, token_count
 from termloom.runtime import BROADCAST_ROWS, cut
 
-#: Hash bins per source in which the cut of a partial repetition is located.
-BINS = 4096
+#: Bits of the hash by which a partial repetition's cut is located at each step, and steps: what is ordered in the end is a 2**24th of a source.
+BITS, STEPS = 12, 2
 
 
 @dataclass(frozen=True)
@@ -58,11 +58,12 @@ def feasible_total(sources: Mapping[str, Share]) -> float:
 def sized_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, n_tokens), computed once: tokens are counted once per document and reused by every step.
 
-    Repeated rows of a document count once, so that none is drawn more often than allowed; they are combined before
-    the shuffle, which moves sizes only. Rows without doc_id are left out.
+    A document counts once, so that none is drawn more often than allowed: of rows that differ in source or length, the one with the least source (null
+    last), then the fewest tokens. Rows are combined before the shuffle, which moves sizes only. Rows without doc_id are left out.
     """
     counted = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "source", token_count(F.col("text"), vocabulary, folder).alias("n_tokens"))
-    return cut(counted.distinct())
+    least = F.min(F.struct(F.col("source").isNull().alias("without"), "source", "n_tokens")).alias("r")
+    return cut(counted.groupBy("doc_id").agg(least).select("doc_id", "r.source", "r.n_tokens"))
 
 
 def source_shares(sized: DataFrame, weights: DataFrame) -> dict[str, Share]:
@@ -96,8 +97,8 @@ def mix(
     gives each document floor(e) times, and once more those that come first in a seeded hash order until the rest is
     reached as closely as whole documents allow. Documents of sources without a weight, and ones without tokens, are not drawn.
 
-    The cut of a source is found in two steps that don't gather it anywhere: tokens per hash bin are summed in each
-    task, the bin of the cut is located, and only that bin (a 4096th of the source) is put in exact order.
+    The cut of a source is found without gathering it anywhere: tokens per hash bin are summed in each task, the bin of the cut is located, then the same
+    is done within that bin, and only the bin of a bin (a 2**24th of the source) is put in exact order.
     """
     sized = sized_documents(docs, vocabulary, folder)
     shares = source_shares(sized, weights)
@@ -116,20 +117,28 @@ def mix(
         return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
     own = sized.where(F.col("n_tokens") > 0).join(per_source(plans.select("source", "whole", "rest")), "source")
-    own = own.withColumn("h", _draw(seed)).withColumn("bin", F.shiftright("h", 63 - 12).cast("int"))
-    by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = own.groupBy("source", "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
-    placed = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(by_bin), F.lit(0)))
-    crossed = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bin") >= F.col("rest"))
-    cuts = cut(placed.where(crossed).select("source", F.col("bin").alias("cut_bin"), "before"))
-    at = own.join(per_source(cuts), "source", "left")
-    below = (F.col("rest") > 0) & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
-    edge = at.where((F.col("rest") > 0) & (F.col("bin") == F.col("cut_bin")))
+    own = own.withColumn("h", _draw(seed))
+
+    def times(df: DataFrame, more: int) -> DataFrame:
+        return df.select("doc_id", "source", "n_tokens", (F.col("whole") + F.lit(more)).alias("repeats"))
+
+    drawn = times(own.where("rest <= 0"), 0)
+    edge = own.where("rest > 0").withColumn("before", F.lit(0).cast("bigint"))
+    for step in range(STEPS):
+        binned = edge.withColumn("bin", F.shiftright("h", 63 - BITS * (step + 1)).bitwiseAND(F.lit((1 << BITS) - 1)))
+        earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over bins, not documents
+        bins = binned.groupBy("source", "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"), F.first("before").alias("base"))
+        placed = bins.withColumn("upto", F.col("base") + F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)))
+        crossed = (F.col("upto") < F.col("rest")) & (F.col("upto") + F.col("in_bin") >= F.col("rest"))
+        cuts = cut(placed.where(crossed).select("source", F.col("bin").alias("cut_bin"), "upto"))
+        at = binned.join(per_source(cuts), "source", "left")
+        # A source that never reaches its rest has no cut: all of it is drawn once more.
+        drawn = drawn.unionByName(times(at.where(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1)).unionByName(times(at.where(F.col("bin") > F.col("cut_bin")), 0))
+        edge = at.where(F.col("bin") == F.col("cut_bin")).drop("before", "bin", "cut_bin").withColumnRenamed("upto", "before")
     in_order = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("so_far", F.col("before") + F.sum("n_tokens").over(in_order))
     drawn_edge = edge.select("doc_id", "source", "n_tokens", (F.col("whole") + F.when(F.col("so_far") - F.col("n_tokens") / 2 < F.col("rest"), 1).otherwise(0)).alias("repeats"))
-    off_edge = at.where(~((F.col("rest") > 0) & F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))))
-    drawn = off_edge.select("doc_id", "source", "n_tokens", (F.col("whole") + F.when(below, 1).otherwise(0)).alias("repeats")).unionByName(drawn_edge)
+    drawn = drawn.unionByName(drawn_edge)
     mixed = cut(drawn.where(F.col("repeats") > 0))
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached"))
     all_reached = mixed.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("repeats")), F.lit(0)).alias("t")).scalar()

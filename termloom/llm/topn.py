@@ -28,17 +28,20 @@ def _same(keys: list[str], a: str, b: str) -> Column:
 def group_thresholds(scored: DataFrame, keys: list[str], n: int, heavy: DataFrame) -> DataFrame:
     """(keys, floor_bin) of the heavy groups: at least n different items lie in that bin or above it.
 
-    The histogram has a row per group and bin with a 64-bit mask of item hashes. Bits set in the union of the
+    The histogram has a row per group and bin with a mask of item hashes, of twice as many bits as n or more, in words of 64. Bits set in the union of the
     masks from the top down never exceed the number of different items, so repeated rows can't raise a threshold
     too far. A group whose items fill fewer than n bits gets none and keeps all its rows.
     """
     small = heavy.count() <= BROADCAST_ROWS
     side = (F.broadcast(heavy) if small else heavy).alias("h")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64("_item"), F.lit(64)).cast("int"))
+    words = max(1, -(-n // 32))
+    place = F.pmod(F.xxhash64("_item"), F.lit(64 * words))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    masks = [F.coalesce(F.bit_or(F.when(F.floor(place / 64) == i, bit)), F.lit(0).cast("bigint")).alias(f"mask{i}") for i in range(words)]
     own = scored.alias("s").join(side, _same(keys, "s", "h"), "left_semi")
-    histogram = own.groupBy(*keys, "_bin").agg(F.bit_or(bit).alias("mask"))
+    histogram = own.groupBy(*keys, "_bin").agg(*masks)
     down = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = histogram.withColumn("distinct_at_least", F.bit_count(F.bit_or("mask").over(down)))
+    reached = histogram.withColumn("distinct_at_least", reduce(lambda a, b: a + b, (F.bit_count(F.bit_or(f"mask{i}").over(down)) for i in range(words))))
     return reached.where(F.col("distinct_at_least") >= n).groupBy(*keys).agg(F.max("_bin").alias("floor_bin"))
 
 
@@ -49,8 +52,7 @@ def top_n(df: DataFrame, keys: list[str], item: str, score: str, n: int, rank: s
     -0.0 are equal; null keys form groups of their own; other columns are ignored; n < 1 or an empty table gives
     no rows.
 
-    Groups of heavy_rows rows or more get a safe floor from their score histogram (n may be at most 64 for that,
-    else no floor is set) and drop the rows below it before anything is shuffled by item. What is left is
+    Groups of heavy_rows rows or more get a safe floor from their score histogram and drop the rows below it before anything is shuffled by item. What is left is
     reduced to one row per item, spread by group and item, then ranked exactly; each task passes on at most n
     rows of a group, so a group whose scores are all equal doesn't gather in one task either.
     """
@@ -59,7 +61,7 @@ def top_n(df: DataFrame, keys: list[str], item: str, score: str, n: int, rank: s
     scored = df.where(counts).select(*keys, F.col(item).alias("_item"), value.alias("_score"))
     binned = scored.withColumn("_bin", score_bin(F.col("_score")))
     left: DataFrame = scored
-    if 1 <= n <= 64:
+    if n >= 1:
         heavy = cut(scored.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= heavy_rows).select(*keys))
         floors = cut(group_thresholds(binned, keys, n, heavy))
         side = (F.broadcast(floors) if floors.count() <= BROADCAST_ROWS else floors).alias("f")

@@ -65,3 +65,9 @@ def test_empty(spark):
     assert mixed == {} and report["a"]["reached_share"] == 0.0
     assert run(spark, [(1, "x", "a")], [])[1] == {}
     assert run(spark, [(1, "x", "a")], [("a", None, None)])[0] == {}
+
+
+@needs_vocabulary
+def test_a_document_in_two_sources_is_drawn_from_one(spark):
+    mixed, report = run(spark, [(1, "one two", "s"), (1, "one two three", "t"), (1, "one", None), (2, "one", "t")], [("s", 0.5, 1), ("t", 0.5, 1)])
+    assert mixed == {1: ("s", 2, 1), 2: ("t", 1, 1)} and report["t"]["available_tokens"] == 1

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from termloom.llm.topn import score_bin, top_n
+from termloom.llm.topn import group_thresholds, score_bin, top_n
 from pyspark.sql import functions as F
 
 SCHEMA = "query string, ranker string, document_id string, score double, _extra int, rank_no int"
@@ -48,3 +48,17 @@ def test_bins_never_fall(spark):
     values = sorted([0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), *[s * 2.0**e * m for s in (1, -1) for e in range(-60, 60, 3) for m in (1.0, 1.01, 1.99)]])
     bins = [r["b"] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i").select(score_bin(F.col("v")).alias("b")).collect()]
     assert bins == sorted(bins)
+
+
+@pytest.mark.parametrize("n", [64, 65, 300])
+def test_floors_for_any_n(spark, n):
+    """A large group gets a floor that drops rows, and keeps its n best, however large n is."""
+    rows = spark.range(20_000).selectExpr("'g' AS q", "concat('i', id % 9000) AS item", "cast(pmod(xxhash64(id % 9000), 1000) AS double) + 1 AS score")
+    heavy = rows.select("q").distinct()
+    scored = rows.selectExpr("q", "item AS _item", "score AS _score").withColumn("_bin", score_bin(F.col("_score")))
+    floor = group_thresholds(scored, ["q"], n, heavy).first()["floor_bin"]
+    above = scored.where(F.col("_bin") >= floor).select("_item").distinct().count()
+    assert n <= above < 9000
+    best = [r["item"] for r in top_n(rows, ["q"], "item", "score", n).orderBy("rank_no").collect()]
+    want = [r["item"] for r in rows.groupBy("item").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "item").limit(n).collect()]
+    assert best == want
