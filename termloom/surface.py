@@ -234,7 +234,7 @@ def phrase_match_sets(s: SparkSession, d: str) -> DataFrame:
     return matches_by_sets(prepared(s, d), Phrase(("und", "danach", "den")))
 
 
-@_register("length_percentiles", "WITH v AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p, (SELECT n_chars FROM v WHERE k = trunc(p * (n - 1))) AS value FROM (VALUES (0.5), (0.99)) t(p)")
+@_register("length_percentiles", "WITH v AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p, (SELECT n_chars FROM v WHERE k = trunc(p * (n - 1))) AS value FROM (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) t(p)")
 def length_percentiles(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     p50, p99 = (percentile(docs, "n_chars", p).select(F.lit(p).alias("p"), "value") for p in (0.5, 0.99))
