@@ -23,7 +23,7 @@ from termloom.operators.index import build_index, index_diff
 from termloom.plans.compile import matches_by_sets
 from termloom.plans.query import And, Node, Not, Or, Phrase, QueryParseError, Term, parse_query
 from termloom.runtime import scratch_path, table
-from termloom.sources.directory import as_corpus, scan_directory
+from termloom.sources.directory import as_corpus, is_local, scan_directory, write_files
 from termloom.sources.evalset import read_evaluation
 from termloom.sources.synthetic import synthetic_corpus
 from termloom.store import IndexLoadError, load_index, save_index
@@ -61,15 +61,18 @@ def engine_of(s: SparkSession, d: str) -> Engine:
 
 
 def _folder_of_documents(s: SparkSession, d: str) -> str:
-    """All documents as text files, one folder each, written by the tasks that hold them."""
+    """All documents as text files, one each, written by the tasks that hold them."""
     root = scratch_path(s, "files")
     rows = table(s, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    if is_local(root):
+        write_files(rows.select(F.concat(F.lit("doc_id="), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary")), root)
+    else:
+        rows.repartition("doc_id").write.partitionBy("doc_id").text(root)
     return root
 
 
 def _file_id() -> F.Column:
-    return F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("bigint").alias("doc_id")
+    return F.regexp_extract("path", r"doc_id=(-?\d+)[/.]", 1).cast("bigint").alias("doc_id")
 
 
 @_register("directory_scan", _BASE + "SELECT doc_id, token_count FROM lens")
