@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from termloom.cache import ResponseCache
 from termloom.config import Config
+from termloom.files import Files
 from termloom.functions.analyze import STOP_WORDS
 from termloom.functions.snippet import snippet_column
 from termloom.operators.index import Delta, Index, build_index, delta_of, index_diff, size_estimate, with_statistics
 from termloom.plans.compile import ranker_name, scored, search_many, top_k
 from termloom.plans.query import parse_query
-from termloom.runtime import cut
+from termloom.runtime import cut, scratch_path
 from termloom.sources.directory import as_corpus, scan_directory
 from termloom.sources.tables import corpus_from_table
 from termloom.store import IndexLoadError, current_version, load_index, save_index, update_index
@@ -97,23 +99,27 @@ class Engine:
         """Makes the index mirror a directory: files that aren't in it any more leave the index, only new and changed ones are read and
         analyzed. Raises FileNotFoundError for a root that isn't a directory."""
         began = time.perf_counter()
-        listed = scan_directory(self.spark, root, with_content=False)
         if not incremental or self.version == "empty":
-            scan = as_corpus(scan_directory(self.spark, root))
-            ok = scan.where(F.col("error").isNull())
-            found = scan.count()
-            bad = self._errors(scan)
-            errors = bad.count()
-            self._switch(build_index(ok, self.stop_words))
+            with self._read_once(as_corpus(scan_directory(self.spark, root))) as scan:
+                ok = scan.where(F.col("error").isNull())
+                found = scan.count()
+                bad = self._errors(scan)
+                errors = bad.count()
+                self._switch(build_index(ok, self.stop_words))
             return IndexReport(found=found, added=found - errors, errors=errors, error_details=self._excerpt(bad), duration_ms=_ms(began), error_rows=bad)
+        listed = scan_directory(self.spark, root, with_content=False)
         diff = index_diff(listed, self.index.docs).cache()
         try:
             counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
-            corpus = as_corpus(scan_directory(self.spark, root).join(diff.where(F.col("change").isin("added", "updated")), "doc_id", "left_semi"))
-            bad = self._errors(corpus)
-            failed = {r["change"]: r["count"] for r in diff.join(bad, "doc_id", "left_semi").groupBy("change").count().collect()}
-            if counts.keys() - {"unchanged"}:
-                self.update(delta_of(diff.join(bad.select("doc_id"), "doc_id", "left_anti"), corpus.where(F.col("error").isNull())))
+            if counts.keys() & {"added", "updated"}:
+                scan = scan_directory(self.spark, root, diff.where(F.col("change").isin("added", "updated")))
+            else:  # nothing to read
+                scan = listed.where(F.lit(False)).withColumns({"raw": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
+            with self._read_once(as_corpus(scan)) as corpus:
+                bad = self._errors(corpus)
+                failed = {r["change"]: r["count"] for r in diff.join(bad, "doc_id", "left_semi").groupBy("change").count().collect()}
+                if counts.keys() - {"unchanged"}:
+                    self.update(delta_of(diff.join(bad.select("doc_id"), "doc_id", "left_anti"), corpus.where(F.col("error").isNull())))
         finally:
             diff.unpersist()
         n = {k: counts.get(k, 0) - failed.get(k, 0) for k in ("added", "updated", "deleted", "unchanged")}
@@ -129,6 +135,16 @@ class Engine:
         n = self.index.stats.first()["n_docs"]
         return IndexReport(found=n, added=n, duration_ms=_ms(began))
 
+    @contextmanager
+    def _read_once(self, corpus: DataFrame) -> Iterator[DataFrame]:
+        """The corpus as a table in the shared folder while it is indexed: its files are opened once, whatever is made of them."""
+        path = scratch_path(self.spark, "corpus")
+        corpus.write.parquet(path)
+        try:
+            yield self.spark.read.schema(corpus.schema).parquet(path)
+        finally:
+            Files(self.spark).delete(path)
+
     @staticmethod
     def _errors(corpus: DataFrame) -> DataFrame:
         """(doc_id, path, error) of all files that couldn't be read, written once so that count, list and index agree."""

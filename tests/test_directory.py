@@ -68,3 +68,31 @@ def test_rows_of_the_same_id_are_files_of_their_own(spark, tmp_path, name):
         assert got == [(-2, 0), (1, 1), (1, 2), (3, 2)]
     else:
         assert got == [("first", 4, 4, 0, 0), ("second", 4, 0, 4, 0)]
+
+
+def test_each_run_opens_what_it_needs_once(spark, tmp_path, monkeypatch):
+    """A full run makes documents, postings, errors and counts of one read of each file; a later one reads new and changed files only."""
+    root, log = tmp_path / "corpus", str(tmp_path / "log")
+
+    def scan(spark, root, with_content=True):
+        @F.udf("binary")
+        def noted(raw):
+            with open(log, "ab") as f:
+                f.write(b".")
+            return bytes(raw)
+
+        rows = scan_directory(spark, root, with_content)
+        return rows.withColumn("raw", noted("raw")) if with_content else rows
+
+    monkeypatch.setattr("termloom.engine.scan_directory", scan)
+    root.mkdir()
+    for i in range(20):
+        (root / f"{i}.md").write_text(f"word{i}")
+    engine = Engine(spark, Config(index_path=str(tmp_path / "index")))
+    for added, updated, opened in ((20, 0, 20), (0, 0, 20), (1, 1, 22)):
+        if updated:
+            (root / "new.md").write_text("new")
+            os.utime(root / "3.md", (1, 1))
+        r = engine.index_directory(str(root))
+        assert (r.added, r.updated, r.errors, os.path.getsize(log)) == (added, updated, 0, opened)
+    assert engine.stats().documents == 21
