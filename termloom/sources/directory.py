@@ -169,7 +169,7 @@ def write_files(rows: DataFrame, root: str) -> None:
 
 
 def _read_local(file: Column) -> Column:
-    """(raw, error) of local files."""
+    """(raw, error) of local files. What a file gives may change: Spark must not read it again for a filter on error."""
 
     @F.pandas_udf("raw binary, error string")
     def read(files: pd.Series) -> pd.DataFrame:
@@ -185,7 +185,7 @@ def _read_local(file: Column) -> Column:
                 error.append(e.strerror or type(e).__name__)
         return pd.DataFrame({"raw": pd.Series(raw, dtype=object), "error": pd.Series(error, dtype=object)})
 
-    return read(file)
+    return read.asNondeterministic()(file)
 
 
 def as_corpus(scanned: DataFrame) -> DataFrame:
